@@ -152,9 +152,9 @@ def truncation_scores(docs: DataFrame, key: str = "doc_id", text: str = "text",
     needed = written(ends.select(F.explode("ctx").alias("h")).groupBy("h").agg(F.count("*").alias("texts")).join(own, "h", "left"), "needed")
     # one bit for each needed context: at most 2**FILTER_BITS / 64 rows, whatever the data
     slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    word = needed.groupBy(F.shiftrightunsigned(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toPandas()
+    word = needed.groupBy(F.shiftrightunsigned(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[word["w"].to_numpy(np.int64)] = word["bits"].to_numpy(np.int64)
+    bits[word["w"].to_numpy()] = word["bits"].to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
     counted = rows.select("text").mapInArrow(lambda it: _counts(shared.value)(it), "h bigint, ends bigint, goes_on bigint").groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
     zero = F.lit(0)
