@@ -90,7 +90,7 @@ def packed(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "
     level, streams = 0, max(1, -(-n // STREAM))
     now = written(_pack(piece.where("size < capacity_tokens").select("spec_name", "capacity_tokens", "item", "size"), streams, level), "packed")
     while streams > 1:
-        streams, level = max(1, -(-streams * OPEN // STREAM)), level + 1
+        streams, level = min(streams - 1, max(1, -(-streams * OPEN // STREAM))), level + 1
         left = now.where("open").groupBy("spec_name", "capacity_tokens", F.col("container").alias("item")).agg(F.sum("size").alias("size"))
         merged = _pack(left, streams, level).select("spec_name", F.col("item").alias("container"), F.col("container").alias("into"), F.col("open").alias("still"))
         now = written(now.join(merged, ["spec_name", "container"], "left").select("spec_name", "capacity_tokens", "item", "size", F.coalesce("into", "container").alias("container"), F.coalesce("still", F.lit(False)).alias("open")), "packed")
