@@ -71,8 +71,11 @@ def retry_loop(pool: DataFrame, key: str, backend: Callable[[DataFrame, int], Da
         x = pending.join(said, key, "left")
         given = F.filter(F.coalesce("_j.entities", F.array().cast("array<struct<text:string,label:string>>")), lambda e: e["text"].isNotNull())
         good = F.filter(given, lambda e: e["label"].isin(sp.vocab.LABELS) & sp.constraint(tx.squeeze(F.lower(e["text"])), e["label"], F.col("text")).isNull())
-        x = x.withColumn("_given", F.size(given)).withColumn("entities", sp.aligned_entities("text", good)).withColumn("_bad", F.col("_given") - F.size("entities"))
-        x = x.withColumn("_hard", F.col("_j").isNull() | (F.col("_bad") > 0)).withColumn("_soft", F.size(sp.missed("text", "entities")) if soft else F.lit(0))
+        # the rules are worked out and written before Python aligns what passed them
+        x = written(x.select(key, "text", "n_rejected", F.col("_j.entities").isNull().alias("_unread"), F.size(given).alias("_given"), good.alias("_good")), "annotate")
+        x = written(x.withColumn("entities", sp.aligned_entities("text", "_good")), "annotate")
+        x = x.withColumn("_bad", F.col("_given") - F.size("entities")).withColumn("_hard", F.col("_unread") | (F.col("_bad") > 0))
+        x = x.withColumn("_soft", F.size(sp.missed("text", "entities")) if soft else F.lit(0))
         done = x.select(key, "text", "entities", (~F.col("_hard")).alias("ok"), F.lit(r).alias("n_rounds"), (F.col("n_rejected") + F.col("_bad")).alias("n_rejected"), F.col("_soft").alias("n_flags"), ((F.col("_hard") | (F.col("_soft") > 0)) & F.lit(r < rounds)).alias("again"))
         state = written(state.where("not again").unionByName(done), "annotate")
     return state.withColumn("entities", sp.merged_entities("text", "entities")).drop("again")
