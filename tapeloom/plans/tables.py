@@ -43,3 +43,26 @@ def drop_written(df: DataFrame) -> None:
         jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python workers can import it wherever they run."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(root):  # not itself imported from such an archive
+        path = os.path.join(tempfile.mkdtemp(prefix="tapeloom-"), "tapeloom-code.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
+        sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
