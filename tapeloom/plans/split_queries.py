@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as tx
-from tapeloom.functions import vocab
 from tapeloom.functions.names import name_key
 from tapeloom.operators import curation, quality, sampling
 from tapeloom.plans import dialect as q
@@ -13,8 +12,6 @@ from tapeloom.plans.registry import query
 from tapeloom.plans.tables import read
 from tapeloom.sources import readers, writers
 
-_REC = "coalesce(source_id, E'\\x00')"
-
 
 @query("q_group_split", "WN7 ST-10 PF18", f"""
     WITH g AS (SELECT CASE WHEN source_id IS NULL THEN 'none' ELSE source_id END k, count(*) n FROM heldout GROUP BY 1),
