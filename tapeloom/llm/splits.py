@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.names import id_key, name_key
@@ -12,7 +12,9 @@ from tapeloom.operators.skew import lookup_join
 from tapeloom.plans.tables import drop_written, read, written
 
 #: Components above 1/UNITS of all records move alone; the others move in UNITS hashed bunches of whole components.
-UNITS, LABELS, CHAINS, STEPS = 2048, 16, 8, 20_000
+UNITS, CHAINS, STEPS = 2048, 8, 20_000
+#: The LABELS most frequent labels are balanced each by itself; only those beyond share TAIL hashed slots, and the report says which.
+LABELS, TAIL = 1024, 64
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -94,30 +96,56 @@ def _anneal(size: np.ndarray, labels: np.ndarray, start: np.ndarray, share: np.n
     have = np.array([size[at == s].sum() for s in range(k)], float)
     lab = np.array([labels[at == s].sum(axis=0) for s in range(k)], float)
     weight = per / per.sum()
-    cost = lambda h, x: float((((h / total) - share) ** 2).sum() * 4 + ((((x / per) - share[:, None]) ** 2) * weight).sum())
-    now = best = cost(have, lab)
+    # a move changes only the labels its unit holds
+    held = [np.flatnonzero(row) for row in labels]
+    part = [labels[n, c] / per[c] for n, c in enumerate(held)]
+    load = size / total
+    h, x = have / total - share, lab / per - share[:, None]
+    now = best = float((h**2).sum() * 4 + (x**2 * weight).sum())
     kept = at.copy()
+
+    def move(n: int, s: int) -> float:
+        """Moves unit n to split s; returns the change of the cost."""
+        change, c = 0.0, held[n]
+        for t, sign in ((at[n], -1), (s, 1)):
+            v = sign * part[n]
+            change += 4 * sign * load[n] * (2 * h[t] + sign * load[n]) + float((weight[c] * v * (2 * x[t, c] + v)).sum())
+            h[t] += sign * load[n]
+            x[t, c] += v
+        at[n] = s
+        return change
+
     u, v, to, luck, kind = rng.integers(0, len(size), steps), rng.integers(0, len(size), steps), rng.integers(0, k, steps), rng.random(steps), rng.random(steps)
     for i in range(steps if len(size) > 1 and k > 1 else 0):
         heat = max(now, 1e-12) * 0.1 * (1 - i / steps) ** 2 + 1e-15
         a, b = u[i], v[i]
         moves = [(a, at[b]), (b, at[a])] if kind[i] < 0.5 else [(a, to[i])]
-        if all(at[x] == s for x, s in moves):
+        if all(at[n] == s for n, s in moves):
             continue
-        h, x = have.copy(), lab.copy()
-        for n, s in moves:
-            h[at[n]] -= size[n]
-            h[s] += size[n]
-            x[at[n]] -= labels[n]
-            x[s] += labels[n]
-        c = cost(h, x)
+        back = [(n, at[n]) for n, _ in moves]
+        c = now + sum(move(n, s) for n, s in moves)
         if c <= now or luck[i] < np.exp((now - c) / heat):
-            for n, s in moves:
-                at[n] = s
-            now, have, lab = c, h, x
+            now = c
             if c < best:
                 best, kept = c, at.copy()
-    return best, kept
+        else:
+            for n, s in back:
+                move(n, s)
+    h = np.bincount(kept, size, k) / total - share
+    x = np.array([labels[kept == s].sum(axis=0) for s in range(k)]) / per - share[:, None]
+    return float((h**2).sum() * 4 + (x**2 * weight).sum()), kept
+
+
+def _record_labels(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label as a name; null is the empty name) of each record."""
+    return rows.groupBy(key).agg(F.min(name_key(F.col(label))).alias("label")).select(key, F.coalesce("label", F.lit("")).alias("label"))
+
+
+def _slots(counts: DataFrame) -> tuple[DataFrame, Column]:
+    """(the LABELS most frequent labels of counts (label, n) with their slot, ties by label; the slot of a label joined with them)."""
+    top = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).select("label").collect()
+    own = counts.sparkSession.createDataFrame([(r["label"], i) for i, r in enumerate(top)], "label string, own int")
+    return own, F.coalesce("own", (F.pmod(F.xxhash64("label"), F.lit(TAIL)) + LABELS).cast("int"))
 
 
 def grouped_split(rows: DataFrame, targets: DataFrame, key: str, label: str, ids: dict[str, str], seed: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +153,8 @@ def grouped_split(rows: DataFrame, targets: DataFrame, key: str, label: str, ids
 
     Component swap search: a hash puts each unit into a split by the shares; CHAINS annealing chains in parallel then move and exchange units,
     and the best result of all chains is kept. A unit is one component with more than 1/UNITS of all records, or a hashed bunch of smaller whole components:
-    at most 2 * UNITS units whatever the data's size, and no component is ever cut. Labels are hashed to LABELS slots.
+    at most 2 * UNITS units whatever the data's size, and no component is ever cut. The LABELS most frequent labels are numbered exactly;
+    those beyond are hashed to TAIL slots (label_shares tells them apart).
     """
     spark = rows.sparkSession
     members, groups = related_groups(rows, key, ids)
@@ -139,14 +168,19 @@ def grouped_split(rows: DataFrame, targets: DataFrame, key: str, label: str, ids
     unit = F.when(big, F.xxhash64("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(UNITS)))
     placed = written(groups.withColumn("unit", F.concat(F.when(big, "c").otherwise("b"), unit.cast("string"))), "units")
     with_unit = written(lookup_join(members, placed, ["comp"], "records").select(key, "group_id", "unit"), "with-unit")
-    lab = rows.groupBy(key).agg(F.min(name_key(F.col(label))).alias("label")).select(key, F.pmod(F.xxhash64(F.coalesce("label", F.lit(""))), F.lit(LABELS)).cast("int").alias("slot"))
-    hist = with_unit.join(lab, key).groupBy("unit", "slot").agg(F.count("*").alias("n"))
+    counts = written(with_unit.join(_record_labels(rows, key, label), key).groupBy("unit", "label").agg(F.count("*").alias("n")), "labels")
+    own, slot = _slots(counts)
+    hist = counts.join(F.broadcast(own), "label", "left").groupBy("unit", slot.alias("slot")).agg(F.sum("n").alias("n"))
+    # one row for each unit, of at most LABELS + TAIL slots
+    hist = hist.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("x")).select("unit", F.col("x.slot").alias("slot"), F.col("x.n").alias("n"))
     hist = hist.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1))))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        units, row = np.unique(pdf["unit"].to_numpy(), return_inverse=True)
-        labels = np.zeros((len(units), LABELS))
-        np.add.at(labels, (row, pdf["slot"].to_numpy()), pdf["n"].to_numpy())
+        pdf = pdf.sort_values("unit")
+        units, slots = pdf["unit"].to_numpy(), np.concatenate(pdf["slot"].to_numpy())
+        _, col = np.unique(slots, return_inverse=True)
+        labels = np.zeros((len(units), col.max() + 1))
+        labels[np.repeat(np.arange(len(units)), pdf["slot"].str.len()), col] = np.concatenate(pdf["n"].to_numpy())
         c = int(pdf["chain"].iloc[0])
         # the same hashed start for all chains
         u = np.array([int.from_bytes(__import__("hashlib").md5(f"{seed}:{x}".encode()).digest()[:6], "big") / 2**48 for x in units])
@@ -165,6 +199,20 @@ def grouped_split(rows: DataFrame, targets: DataFrame, key: str, label: str, ids
     return assigned, report
 
 
+def label_shares(rows: DataFrame, targets: DataFrame, assigned: DataFrame, key: str, label: str) -> DataFrame:
+    """(label, dataset_split, target_share, actual_share, records, within_tolerance, hashed) of every label, also the hashed ones, and split: the share of the label's records that the split has.
+
+    hashed: the label is beyond the LABELS most frequent, so the splits were balanced for its slot only.
+    """
+    n = written(assigned.join(_record_labels(rows, key, label), key).groupBy("label", "assigned_split").agg(F.count("*").alias("n")), "label-splits")
+    own, _ = _slots(n)
+    total = n.groupBy("label").agg(F.sum("n").alias("total"))
+    each = total.crossJoin(F.broadcast(targets.select("dataset_split", "target_share", "tolerance"))).join(n.withColumnRenamed("assigned_split", "dataset_split"), ["label", "dataset_split"], "left")
+    each = each.join(F.broadcast(own), "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    actual = F.round(F.col("n") / F.col("total"), 9)
+    return each.select("label", "dataset_split", F.col("target_share").cast("double").alias("target_share"), actual.alias("actual_share"), F.col("n").alias("records"), (F.abs(actual - F.col("target_share")) <= F.col("tolerance")).alias("within_tolerance"), F.col("own").isNull().alias("hashed"))
+
+
 IDS = {"speaker_id": "s:", "source_id": "r:"}
 
 
@@ -179,8 +227,11 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual shares of the new splits."""
-    return grouped_split(read(spark, d, "heldout"), read(spark, d, "split_targets"), "utterance_id", "dataset_source", IDS)[1]
+    """Target and actual shares of the new splits: of all records where label is null, then of each label's."""
+    rows, targets = read(spark, d, "heldout"), read(spark, d, "split_targets")
+    assigned, whole = grouped_split(rows, targets, "utterance_id", "dataset_source", IDS)
+    labels = label_shares(rows, targets, written(assigned, "assigned"), "utterance_id", "dataset_source")
+    return whole.withColumns({"label": F.lit(None).cast("string"), "hashed": F.lit(False)}).select(labels.columns).unionByName(labels)
 
 
 _ID = r"CASE WHEN {0} SIMILAR TO '.*[0-9].*' THEN '{1}' || regexp_replace(lower({0}), '[^\p{{L}}]', '', 'g') || '#' || coalesce(nullif(ltrim(regexp_replace({0}, '[^0-9]', '', 'g'), '0'), ''), '0') END"

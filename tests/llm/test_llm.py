@@ -249,6 +249,22 @@ def test_annealing_beats_its_start():
     assert np.abs(got - share).max() < 0.01 and cost < 1e-3
 
 
+def test_each_label_is_balanced_and_reported(spark, monkeypatch):
+    monkeypatch.setattr(splits, "UNITS", 512)
+    rows = [(f"u{i:04d}", f"spk-{i // 2}", None, f"source{i // 2 % 40:02d}") for i in range(2400)]
+    df = spark.createDataFrame(rows, "utterance_id string, speaker_id string, source_id string, dataset_source string")
+    t = spark.createDataFrame([("train", 0.7, 0.1), ("validation", 0.15, 0.1), ("test", 0.15, 0.1)], "dataset_split string, target_share double, tolerance double")
+    a, _ = splits.grouped_split(df, t, "utterance_id", "dataset_source", splits.IDS)
+    got = splits.label_shares(df, t, a, "utterance_id", "dataset_source").collect()
+    assert len(got) == 120 and sum(r["records"] for r in got) == 2400 and not any(r["hashed"] for r in got)
+    assert max(abs(r["actual_share"] - r["target_share"]) for r in got) < 0.1 and all(r["within_tolerance"] for r in got)
+    # beyond the bound every label is still reported, and marked
+    monkeypatch.setattr(splits, "LABELS", 30)
+    a, _ = splits.grouped_split(df, t, "utterance_id", "dataset_source", splits.IDS)
+    got = splits.label_shares(df, t, a, "utterance_id", "dataset_source").collect()
+    assert len(got) == 120 and {r["label"] for r in got if r["hashed"]} == {f"source{i}" for i in range(30, 40)}
+
+
 def test_groups_of_an_empty_table(spark):
     df = spark.createDataFrame([], "utterance_id string, dataset_split string, speaker_id string, source_id string")
     assert splits.torn_groups(df, "utterance_id", "dataset_split", splits.IDS).count() == 0
