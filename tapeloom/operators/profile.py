@@ -24,6 +24,13 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
     return n
 
 
+def crosstab(df: DataFrame, sources: DataFrame, labels: list[str], label: str, source: str) -> DataFrame:
+    """AG20: (label, source, n) for each of the fixed labels and each of the sources, 0 where they never meet; a null source is one of its own."""
+    n = df.groupBy(label, source).agg(F.count("*").alias("n")).withColumnsRenamed({label: "_l", source: "_s"})
+    grid = sources.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(x,) for x in labels], f"{label} string")))
+    return grid.join(n, (F.col(label) == F.col("_l")) & F.col(source).eqNullSafe(F.col("_s")), "left").select(label, source, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def null_rates(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """AG14, AG15: share and number of nulls of each column, one row for each group and column."""
     one = df.groupBy(*by).agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in cols))

@@ -188,6 +188,16 @@ def label_crosstab(spark, d):
     return labels.join(n, "label", "left").na.fill(0)
 
 
+@query("q_label_by_source", "AG20 AG35", f"""
+    WITH l AS (SELECT unnest({q.words(vocab.LABELS)}) label), s AS (SELECT DISTINCT {q.key('source')} source FROM samples),
+    e AS (SELECT {q.key('source')} source, upper({q.key('x.label')}) label FROM (SELECT source, unnest(entities) x FROM samples))
+    SELECT l.label, s.source, count(e.label) n FROM l CROSS JOIN s LEFT JOIN e ON l.label = e.label AND s.source IS NOT DISTINCT FROM e.source GROUP BY 1, 2""")
+def label_by_source(spark, d):
+    s = read(spark, d, "samples").select(name_key(F.col("source")).alias("source"), "entities")
+    e = s.select("source", F.explode("entities.label").alias("l")).select("source", F.upper(name_key(F.col("l"))).alias("label"))
+    return profile.crosstab(e, s.select("source").distinct(), vocab.LABELS, "label", "source")
+
+
 @query("q_spearman", "AG24 WN6", """
     WITH s AS (SELECT source, duration_s a, length(ground_truth) b FROM samples WHERE duration_s IS NOT NULL AND ground_truth IS NOT NULL),
     r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2 ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2 rb FROM s)

@@ -115,6 +115,17 @@ def test_bins_are_right_closed(spark):
     assert got == [None, 0, 0, 1, None, None]
 
 
+def test_labels_by_every_source(spark, tmp_path):
+    from tapeloom.functions import vocab
+    from tapeloom.plans import catalog
+
+    rows = [("New-Field", [("a", "Runway"), ("b", "RUNWAY")]), ("other", [("a", "HEADING"), ("x", "none such")]), (None, [("a", "HEADING")]), ("silent", None)]
+    spark.createDataFrame(rows, "source string, entities array<struct<text:string,label:string>>").write.parquet(str(tmp_path / "samples.parquet"))
+    got = {(r["label"], r["source"]): r["n"] for r in catalog.QUERIES["q_label_by_source"](spark, str(tmp_path)).collect()}
+    assert len(got) == 4 * len(vocab.LABELS)
+    assert {k: n for k, n in got.items() if n} == {("RUNWAY", "newfield"): 2, ("HEADING", "other"): 1, ("HEADING", None): 1}
+
+
 def test_curation_routes(spark):
     rows = [("t1", "climb now", "train"), ("t2", "leaked text", "train"), ("t3", "squawk", "train"), ("d1", "climb", "validation"), ("e1", "one two three", "test")]
     r = spark.createDataFrame(rows, "id string, text string, split string").withColumns({"ok": F.lit(True), "n_rounds": F.lit(1), "n_flags": F.lit(None).cast("int")}).withColumn("entities", F.when(F.col("text").startswith("climb"), sp.rule_entities("text")).otherwise(F.array().cast(ENT)))
