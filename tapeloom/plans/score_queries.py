@@ -77,14 +77,14 @@ def binned_wer(spark, d):
 @query("q_bootstrap_wer", "AG31 AG33")
 def bootstrap_wer(spark, d):
     p = _pairs(spark, d).withColumns({"e": tx.word_errors(F.col("ref"), F.col("hyp")).cast("double"), "w": tx.word_count(F.col("ref")).cast("double")})
-    return scoring.bootstrap(p, "utterance_id", ["e"], ["w"], ["source"], b=500)
+    return scoring.bootstrap(p, "utterance_id", ["e"], ["w"], ["source"])
 
 
 @query("q_paired_verdict", "AG32 AG34 JN11 XO14")
 def paired_verdict(spark, d):
     p = _pairs(spark, d).withColumn("configs", F.array(F.struct(F.lit("base").alias("config"), F.col("hyp").alias("h")), F.struct(F.lit("same").alias("config"), F.col("hyp").alias("h")), F.struct(F.lit("oracle").alias("config"), F.col("ref").alias("h"))))
     x = p.select("utterance_id", "ref", F.explode("configs").alias("c")).select("utterance_id", "c.config", tx.word_errors(F.col("ref"), F.col("c.h")).cast("double").alias("errors"), tx.word_count(F.col("ref")).cast("double").alias("words"))
-    return scoring.paired_verdict(x, "utterance_id", "config", "errors", "words", "base", b=500)
+    return scoring.paired_verdict(x, "utterance_id", "config", "errors", "words", "base")
 
 
 @query("q_latency", "AG29 NU16 NU17 PF15", """

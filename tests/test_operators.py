@@ -110,6 +110,16 @@ def test_bootstrap_covers_the_value(spark):
     assert r["low"] < 0.5 < r["high"] and r["high"] - r["low"] == pytest.approx(2 * 1.96 * (0.25 / 3000) ** 0.5, rel=0.2)
 
 
+def test_interval_queries_draw_2000_resamples(spark, monkeypatch):
+    from tapeloom.plans import catalog
+
+    drawn, plain = [], scoring._poisson
+    monkeypatch.setattr(scoring, "_poisson", lambda df, key, sums, by, b, seed: drawn.append(b) or plain(df, key, sums, by, b, seed))
+    for name in ("q_bootstrap_wer", "q_paired_verdict"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert drawn == [2000, 2000]
+
+
 def test_bins_are_right_closed(spark):
     got = [r["b"] for r in spark.createDataFrame([(x,) for x in (0.0, 0.1, 2.0, 2.1, 38.9, None)], "v double").select(profile.bins(F.col("v"), [0, 2, 4]).alias("b")).collect()]
     assert got == [None, 0, 0, 1, None, None]
