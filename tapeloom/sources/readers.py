@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions import audio
+from tapeloom.plans.tables import written
 
 UTTERANCES = T.StructType([T.StructField(n, k(), True) for n, k in [
     ("utterance_id", T.StringType), ("dataset_source", T.StringType), ("original_split", T.StringType), ("dataset_split", T.StringType), ("source_id", T.StringType),
@@ -36,18 +37,29 @@ def split_table(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("dataset_split") == split)
 
 
+def _numbered(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """df with _number, from 0 within each value of `by` in the given order: a row's place in its range slice, after the rows of the slices before it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, as the bounds of the slices are sampled and must not be drawn anew
+    cut = written(df.repartitionByRange(n, by, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    count = cut.groupBy(F.col(by).alias("_by"), F.col("_slice").alias("_at")).agg(F.count("*").alias("_n"))
+    before = count.select(F.col("_by").alias("_b"), F.col("_at").alias("_before"), F.col("_n").alias("_m"))
+    offset = count.join(before, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_before") < F.col("_at")), "left").groupBy("_by", "_at").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_offset"))
+    place = cut.withColumn("_number", F.row_number().over(Window.partitionBy(by, "_slice").orderBy(*order)) - 1)
+    return place.join(offset, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_at"))).withColumn("_number", F.col("_number") + F.col("_offset")).drop("_slice", "_by", "_at", "_offset")
+
+
 def union_sources(sources: dict[str, DataFrame], renames: dict[str, str], order: list[str], common_splits: bool = False) -> DataFrame:
     """SC1, SO1, SO2, PF1-PF3: one table of several sources: renamed, missing columns null, tagged with dataset_source and an id source-split-000000.
 
-    `order` fixes the row numbers within a split. With common_splits only splits that all sources have are kept. Numbers are made per source and split from counts of hash slices and places within them,
+    `order` fixes the row numbers within a split. With common_splits only splits that all sources have are kept. Numbers are made per source and split from counts of range slices and places within them,
     so no task holds a whole split's order; ids keep the published split (T16).
     """
     out = None
     splits = [df.select("original_split").distinct() for df in sources.values()]
     for name, df in sources.items():
         d = df.withColumnsRenamed(renames)
-        w = Window.partitionBy("original_split").orderBy(*order)
-        d = d.withColumn("dataset_source", F.lit(name)).withColumn("utterance_id", F.format_string("%s-%s-%06d", F.lit(name), "original_split", F.row_number().over(w) - 1))
+        d = _numbered(d, "original_split", order).withColumn("dataset_source", F.lit(name)).withColumn("utterance_id", F.format_string("%s-%s-%06d", F.lit(name), "original_split", "_number")).drop("_number")
         if common_splits:
             for s in splits:
                 d = d.join(s, "original_split", "left_semi")

@@ -235,6 +235,21 @@ def test_sources_and_sinks(spark, tmp_path):
     assert not writers.purge(str(clips), str(tmp_path / "none")) and writers.purge(str(clips), str(tmp_path / "t")) and not clips.exists()
 
 
+def test_rows_are_numbered_by_slices(spark):
+    import re
+
+    rows = [(f"r{i * 7919 % 3000:05d}", "test" if i % 100 == 0 else None if i % 50 == 1 else "train") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, original_split string")
+    out = readers.union_sources({"a": df}, {}, ["id"])
+    want = {}
+    for split in ("test", "train"):
+        want |= {i: f"a-{split}-{k:06d}" for k, i in enumerate(sorted(i for i, s in rows if s == split))}
+    got = {r["id"]: r["utterance_id"] for r in out.collect()}
+    assert len(got) == 3000 and {i: got[i] for i in want} == want
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", out._jdf.queryExecution().analyzed().toString())
+    assert windows and all("_slice" in w for w in windows)
+
+
 def test_log_lines(spark):
     lines = spark.createDataFrame([(" 50%|#| 5/10 [01:00<02:00, 1it/s]",), ("{'loss': 0.5, 'epoch': 1.0}",), ("{'eval_wer': 0.1, 'epoch': 2.0}",), ("noise",), (None,)], "value string")
     got = readers.log_events(lines).collect()
