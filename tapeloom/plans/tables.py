@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -30,12 +33,27 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # once the table is written, nothing reads its shuffles again
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tapeloom_path = path
     return out
 
 
+def shared_table(path: str, columns: list[str], where: tuple):
+    """Rows of a table made by written() with a column equal to a value, as an Arrow table, read by a task itself from the shared folder: for pieces with a bound that a task holds whole."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return ds.dataset(at, format="parquet", filesystem=files).to_table(columns=columns, filter=ds.field(where[0]) == where[1])
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path = getattr(df, "_tapeloom_path", None)
