@@ -138,14 +138,16 @@ def test_near_is_the_edit_distance(a, b):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=300), min_size=1, max_size=6))
-def test_prefixes_are_enough_disjoint_shingles(texts):
-    w = overlap.Words(texts)
-    at, q = overlap.chosen(w, np.ones(1 << overlap.WORD_BITS), np.ones(1 << overlap.PAIR_BITS))
-    for r, t in enumerate(texts):
-        mine = sorted((int(a - w.start[r]), int(n)) for a, n in zip(at, q) if w.row[a] == r)
-        assert len(mine) == len(t) // overlap.PER + 1
-        assert all(a + n <= b for (a, n), (b, _) in zip(mine, mine[1:])) and mine[-1][0] + mine[-1][1] <= len(t)
+@given(st.lists(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=300), min_size=1, max_size=4), st.randoms())
+def test_prefixes_survive_as_many_edits_as_near_texts_have(texts, rng):
+    w = overlap.Words(*overlap.word_ids([" ".join(t) for t in texts]))
+    t, x, y, q = overlap.prefixes(w, np.ones(1 << overlap.WORD_BITS), np.ones(1 << overlap.PAIR_BITS))
+    for r, words in enumerate(texts):
+        mine = [(int(a), int(b), int(n)) for i, a, b, n in zip(t, x, y, q) if i == r]
+        assert bool(mine) == (len(words) >= 4)
+        assert all(a + n <= b and b + n <= len(words) and b - a <= 2 * overlap.STRETCH for a, b, n in mine)
+        spoilt = set(rng.sample(range(len(words)), len(words) // 4))
+        assert not mine or any(not spoilt & {*range(a, a + n), *range(b, b + n)} for a, b, n in mine)
 
 
 def test_overlaps_match_brute_force(spark):
