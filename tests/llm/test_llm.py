@@ -1,6 +1,7 @@
 """Operators for training data against brute force and on edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,7 @@ def test_near_is_the_edit_distance(a, b):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=300), min_size=1, max_size=4), st.randoms())
 def test_prefixes_survive_as_many_edits_as_near_texts_have(texts, rng):
-    w = overlap.Words(*overlap.word_ids([" ".join(t) for t in texts]))
+    w = overlap.Words(*overlap.word_ids(pa.array([" ".join(t) for t in texts])))
     t, x, y, q = overlap.prefixes(w, np.ones(1 << overlap.WORD_BITS), np.ones(1 << overlap.PAIR_BITS))
     for r, words in enumerate(texts):
         mine = [(int(a), int(b), int(n)) for i, a, b, n in zip(t, x, y, q) if i == r]
@@ -150,6 +151,15 @@ def test_prefixes_survive_as_many_edits_as_near_texts_have(texts, rng):
         assert not mine or any(not spoilt & {*range(a, a + n), *range(b, b + n)} for a, b, n in mine)
 
 
+@given(st.lists(st.text(max_size=60) | st.sampled_from(["", "Ab_c9-d", "É à", "x" * 90, "...", "a", "straße ÇA"]), max_size=8))
+def test_word_ids_tell_words_apart(texts):
+    ids, size = overlap.word_ids(pa.array(texts, pa.string()))
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    assert size.tolist() == [len(w) for w in words]
+    known = dict(zip([w for ws in words for w in ws], ids.tolist()))
+    assert [known[w] for ws in words for w in ws] == ids.tolist() and len(set(known.values())) == len(known)
+
+
 def test_overlaps_match_brute_force(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(30)]
