@@ -90,16 +90,22 @@ def session_key(path: Column, pattern: str = r"^(.+)_\d+$") -> Column:
 def word_errors(ref: Column, hyp: Column) -> Column:
     """ST-11: least number of words to insert, delete or replace. Words become characters, numbered within the pair, for the built-in edit distance.
 
-    Numbers run through the planes of Unicode without the surrogates, so the pair may hold up to about a million different words.
+    Numbers run through Unicode from U+0100 on, the surrogates left out, so a pair may hold 1,111,807 different words; more raise an error.
     """
 
     def letter(n: Column) -> Column:
-        # the Basic Multilingual Plane is enough for 40,000 different words; UTF-16 units are what the distance counts
-        return F.decode(F.unhex(F.lpad(F.hex(n + 256 + F.when(n > 55000 - 256, 2304).otherwise(0)), 4, "0")), "UTF-16BE")
+        # big-endian UTF-32; the distance counts whole characters
+        code = n + 255 + F.when(n > 55040, 2048).otherwise(0)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
-    coded = lambda t, known: F.array_join(F.transform(t, lambda w: letter(F.array_position(known, w))), "")
-    pair = F.struct(tokens(ref).alias("a"), tokens(hyp).alias("b"))
-    return let(pair, lambda p: let(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: F.levenshtein(coded(p["a"], known), coded(p["b"], known))))
+    def distance(p):
+        def coded(known):
+            number = F.map_from_arrays(known, F.transform(known, lambda _, i: letter(i + 1)))
+            return let(number, lambda m: F.levenshtein(*(F.array_join(F.transform(p[c], lambda w: F.element_at(m, w)), "") for c in "ab")))
+
+        return let(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: F.when(F.size(known) > 1_111_807, F.raise_error(F.lit("too many different words in a pair")).cast("int")).otherwise(coded(known)))
+
+    return F.when(ref.isNotNull() & hyp.isNotNull(), let(F.struct(tokens(F.coalesce(ref, F.lit(""))).alias("a"), tokens(F.coalesce(hyp, F.lit(""))).alias("b")), distance))
 
 
 def wer(ref: Column, hyp: Column) -> Column:
@@ -123,13 +129,14 @@ def pattern_recall(ref: Column, hyp: Column, pattern: str) -> Column:
     return F.when(ref.rlike(pattern), hyp.rlike(pattern).cast("double"))
 
 
-_N = "(?:" + "|".join(vocab.NUMERALS) + ")"
-#: ST-18: patterns of spoken numbers.
+_NUMBER = "one|two|three|four|five|six|seven|eight|nine|niner|zero"
+_N = f"(?:{_NUMBER})"
+#: ST-18, fixed values: patterns of spoken numbers in normalised transcripts.
 PATTERNS = {
-    "frequency": rf"\b{_N}(?: {_N})* decimal(?: {_N})+\b",
-    "runway": rf"\brunway(?: {_N})+(?: left| right| center)?\b",
-    "heading": rf"\bheading(?: {_N})+\b",
-    "altitude": rf"\b(?:flight level(?: {_N})+|(?:{_N} )+(?:thousand|hundred))\b",
+    "frequency": rf"\b{_N}(?: {_N}){{2,}}(?: decimal(?: {_N}){{1,3}})\b",
+    "runway": rf"\brunway {_N}(?: {_N})?(?: left| right| center)?\b",
+    "heading": rf"\bheading(?: {_N}){{3}}\b",
+    "altitude": rf"\b(?:climb|descend|maintain)(?: to)?(?: (?:{_NUMBER}|flight|level|hundred|thousand))+\b",
 }
 
 

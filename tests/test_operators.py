@@ -200,8 +200,19 @@ def test_pauses_cut_in_the_longest_gap():
     seg = audio.pause_cuts(len(y) / 16000, gaps, 28.0)
     assert len(seg) >= 2 and all(b - a <= 28.0 for a, b in seg) and seg[0][0] == 0 and seg[-1][1] == len(y) / 16000
     assert audio.pause_cuts(70, [], 28.0) == [(0.0, 28.0), (28.0, 56.0), (56.0, 70)]
-    t = audio.tidy_times(audio.word_times(["a", "bbbb"], 1, 4), 1, 4)
-    assert all(b > a for a, b in t) and t[0][0] <= t[1][0]
+    assert audio.word_times(["a", "bbbb"], 1, 4) == [(1.0, 2.0), (2.0, 4.0)]
+
+
+def test_word_times_are_made_plausible(spark):
+    def tidy(times, onset, offset):
+        row = spark.createDataFrame([(times,)], "t array<struct<s:double,e:double>>").select(audio.tidy_times(F.col("t"), F.lit(onset), F.lit(offset)).alias("t")).first()["t"]
+        return [(round(x["s"], 3), round(x["e"], 3)) for x in row]
+
+    assert tidy([(0.0, 2.0), (1.0, 1.5), (1.6, 2.4)], 0.0, 3.0) == [(0.4, 2.0), (1.0, 1.5), (1.6, 2.4)]
+    # the first starts near the onset, the last ends near the offset, and nothing runs back or shrinks to nothing
+    assert tidy([(0.0, 0.3), (0.2, 0.1), (0.5, 9.0)], 0.2, 1.0) == [(0.15, 0.3), (0.2, 0.24), (0.5, 1.05)]
+    assert tidy([(0.5, 0.6), (0.1, 0.2)], 0.0, 1.0) == [(0.5, 0.6), (0.5, 0.54)]
+    assert tidy([], 0.0, 1.0) == tidy(None, 0.0, 1.0) == []
 
 
 def test_sources_and_sinks(spark, tmp_path):
