@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.plans.tables import written
+
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """AG8: count, mean, sample deviation, least, quartiles, largest."""
@@ -62,18 +64,20 @@ def corr(a: str, b: str) -> Column:
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """AG24: rank correlation with ties, and the p-value of its t statistic (normal tail for the large samples this serves).
+    """AG24: rank correlation with ties, by the columns `by` (a null group is one of its own). No p-value is computed.
 
-    Ranks come from the counts of distinct values, so no task sorts all rows of a group.
+    Ranks come from counts of values in range slices and the counts of the slices before, so no task orders all values of a group.
     """
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.struct(*by).alias("_g"), a, b)
     n = rows
     for c in (a, b):
-        v = rows.groupBy(*by, c).agg(F.count("*").alias("_c"))
-        v = v.withColumn(f"_r{c}", F.sum("_c").over(Window.partitionBy(*by).orderBy(c)) - (F.col("_c") - 1) / 2)
-        n = n.join(v.drop("_c"), [*by, c])
-    r = n.groupBy(*by).agg(F.count("*").alias("n"), corr(f"_r{a}", f"_r{b}").alias("rho"))
-    return r.select(*by, "n", F.round("rho", 6).alias("rho"))
+        v = written(rows.groupBy("_g", c).agg(F.count("*").alias("_c")).repartitionByRange("_g", c).withColumn("_slice", F.spark_partition_id()), "ranks")
+        size = v.groupBy("_g", "_slice").agg(F.sum("_c").alias("_m"))
+        before = size.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+        v = v.join(before, ["_g", "_slice"])
+        n = n.join(v.select("_g", c, (F.col("_before") + F.sum("_c").over(Window.partitionBy("_g", "_slice").orderBy(c)) - (F.col("_c") - 1) / 2).alias(f"_r{c}")), ["_g", c])
+    r = n.groupBy("_g").agg(F.count("*").alias("n"), corr(f"_r{a}", f"_r{b}").alias("rho"))
+    return r.select("_g.*", "n", F.round("rho", 6).alias("rho"))
 
 
 def correlations(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
@@ -94,14 +98,21 @@ def bins(value: Column, edges: list[float]) -> Column:
 def tails(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """AG50, NU20: mean, deviation, and values beyond two and three deviations; two passes of partial sums."""
     s = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    z = df.join(F.broadcast(s), by).withColumn("_z", F.abs((F.col(value) - F.col("_m")) / F.col("_s"))) if by else df.join(F.broadcast(s)).withColumn("_z", F.abs((F.col(value) - F.col("_m")) / F.col("_s")))
+    z = df.join(s, by).withColumn("_z", F.abs((F.col(value) - F.col("_m")) / F.col("_s"))) if by else df.join(F.broadcast(s)).withColumn("_z", F.abs((F.col(value) - F.col("_m")) / F.col("_s")))
     return z.groupBy(*by).agg(F.round(F.first("_m"), 6).alias("mean"), F.round(F.first("_s"), 6).alias("std"), F.round(F.median(value), 6).alias("median"), F.count_if(F.col("_z") > 2).alias("beyond_2"), F.count_if(F.col("_z") > 3).alias("beyond_3"))
 
 
 def dictionary(df: DataFrame, definitions: dict[str, str]) -> DataFrame:
-    """AG48, SK16: name, type, definition and a non-null value of each column, in one aggregate."""
-    one = df.agg(*(F.min(F.col(c).cast("string")).alias(c) for c in df.columns))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias("type"), F.lit(definitions.get(c, "")).alias("definition"), F.col(c).alias("example")) for c, k in df.dtypes))).alias("x")).select("x.*")
+    """AG48, SK16: name, type, definition, a non-null value (the least), known values, missing ones in percent and distinct ones of each column. A table without rows has no percentage."""
+    kinds = dict(df.dtypes)
+    plain = df.agg(F.count("*").alias("_n"), *(F.struct(F.min(F.col(c)).alias(c), F.count(c).alias("n")).alias(c) for c in df.columns))
+    # distinct values are counted by groups, each column for itself, so that no task holds them all
+    one = None
+    for c in df.columns:
+        n = df.where(F.col(c).isNotNull()).select(F.xxhash64(c).alias("_h"), F.col(c).alias("_v")).distinct().agg(F.count("*").alias("distinct")).select(F.lit(c).alias("column"), "distinct")
+        one = n if one is None else one.unionByName(n)
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.lit(definitions.get(c, "")).alias("definition"), F.expr(f"`{c}`.`{c}`").cast("string").alias("example") if not kinds[c].startswith("timestamp") else F.date_format(F.expr(f"`{c}`.`{c}`"), "yyyy-MM-dd HH:mm:ss").alias("example"), F.expr(f"`{c}`.n").alias("non_null"), F.round(100 * (1 - F.try_divide(F.expr(f"`{c}`.n"), F.col("_n"))), 6).alias("missing_pct")) for c in df.columns))
+    return plain.select(F.explode(rows).alias("x")).select("x.*").join(one, "column")
 
 
 def duplicates(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:

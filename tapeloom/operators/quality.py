@@ -12,6 +12,11 @@ def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
+def decode_ok(error: Column) -> Column:
+    """PF9: no decode error; an empty one is none."""
+    return F.coalesce(error, F.lit("")) == ""
+
+
 @dataclass
 class Check:
     """A row-local check: rows where `bad` holds are dropped, or only flagged."""

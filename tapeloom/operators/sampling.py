@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.spans import rule_entities
+from tapeloom.operators.skew import lookup_join
+from tapeloom.sources.readers import numbered
+
 
 def hash_order(key: Column, seed: int | str) -> Column:
     """SL6: a fixed random order."""
@@ -28,11 +32,17 @@ def group_split(df: DataFrame, group: str, seed: int, test: float, validation: f
     in_test = g.where(is_test).agg(F.coalesce(F.sum("_n"), zero).alias("_in_test"))
     g = g.join(F.broadcast(in_test)).withColumn("dataset_split", F.when(is_test, "test").when(F.col("_ex") - F.col("_in_test") < F.bround(F.col("_total") * validation), "validation").otherwise("train"))
     key = F.coalesce(F.col(group).cast("string"), F.lit("\x00"))
-    return df.drop("dataset_split").withColumn("_k", key).join(g.select(key.alias("_k"), "dataset_split"), "_k").drop("_k")
+    # a recording with a tenth of the rows is not shuffled
+    return lookup_join(df.drop("dataset_split").withColumn("_k", key), g.select(key.alias("_k"), "dataset_split", "_n"), ["_k"], "_n").drop("_k")
 
 
 def _ranked(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(F.col(key), seed), key)))
+    """df with _r, a row's place in the hash order of its stratum (a null one counts), from 1: its place in one of 4096 slices of the order after the rows of the slices before, so a stratum of a third of all rows is spread over tasks."""
+    h = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_s", F.substring("_h", 1, 3)).withColumn("_g", F.struct(*strata))
+    n = h.groupBy("_g", "_s").agg(F.count("*").alias("_m"))
+    before = n.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")  # at most 4096 rows for each stratum
+    place = h.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_s").orderBy("_h", key)))
+    return place.join(before, ["_g", "_s"]).withColumn("_r", F.col("_r") + F.col("_before")).drop("_h", "_s", "_g", "_before")
 
 
 def equal_sample(df: DataFrame, stratum: str, key: str, limit: int, seed: int) -> DataFrame:
@@ -45,8 +55,8 @@ def equal_sample(df: DataFrame, stratum: str, key: str, limit: int, seed: int) -
 
 def proportional_sample(df: DataFrame, stratum: str, key: str, share: float, seed: int) -> DataFrame:
     """SL8: the same share of each stratum, half to even, at least one row."""
-    r = _ranked(df, [stratum], key, seed).withColumn("_n", F.count("*").over(Window.partitionBy(stratum)))
-    return r.where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share))).drop("_r", "_n")
+    n = df.groupBy(F.col(stratum).alias("_st")).agg(F.count("*").alias("_n"))
+    return _ranked(df, [stratum], key, seed).join(n, F.col(stratum).eqNullSafe(F.col("_st"))).where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share))).drop("_r", "_n", "_st")
 
 
 def targeted_sample(df: DataFrame, key: str, taken: DataFrame, cues: dict[str, Column], per_cue: int, stratum: str, n_random: int, seed: int, blind: float = 0.25) -> DataFrame:
@@ -84,13 +94,14 @@ def quota_select(estimates: DataFrame, labels: list[tuple[str, int]], quota: int
     for p in parts[1:]:
         pool = pool.unionByName(p)
     rows = {r[key]: r for r in pool.dropDuplicates([key]).collect()}
-    got, picked = dict.fromkeys(names, 0), []
+    got, picked, used = dict.fromkeys(names, 0), [], set()
     for n in names:
         for r in sorted((r for r in rows.values() if r[n] > 0), key=lambda r: (-r[n], r["_h"], r[key])):
             if got[n] >= quota:
                 break
-            if r[key] in {p[0] for p in picked}:
+            if r[key] in used:
                 continue
+            used.add(r[key])
             picked.append((r[key], n, len(picked) + 1))
             for m in names:
                 got[m] += r[m]
@@ -101,9 +112,10 @@ def quota_select(estimates: DataFrame, labels: list[tuple[str, int]], quota: int
 
 def quantile_picks(df: DataFrame, stratum: str, value: str, key: str, qs: list[float]) -> DataFrame:
     """SL13: for each stratum the rows at place floor(q * (n - 1)) by value."""
-    w = Window.partitionBy(stratum)
-    r = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value, key)) - 1).withColumn("_n", F.count("*").over(w))
-    return r.withColumn("q", F.explode(F.array(*map(F.lit, qs)))).where(F.col("_i") == F.floor(F.col("q") * (F.col("_n") - 1))).drop("_i", "_n")
+    some = df.where(F.col(value).isNotNull())
+    n = some.groupBy(F.col(stratum).alias("_st")).agg(F.count("*").alias("_n"))
+    r = numbered(some, stratum, [value, key]).join(n, F.col(stratum).eqNullSafe(F.col("_st")))
+    return r.withColumn("q", F.explode(F.array(*map(F.lit, qs)))).where(F.col("_number") == F.floor(F.col("q") * (F.col("_n") - 1))).drop("_number", "_n", "_st")
 
 
 def oversample(df: DataFrame, labels: Column, counts: DataFrame, target: int, cap: int) -> DataFrame:
@@ -114,3 +126,14 @@ def oversample(df: DataFrame, labels: Column, counts: DataFrame, target: int, ca
     boost = counts.where("n < " + str(target)).select("label", F.least(F.lit(cap), F.ceil(F.lit(target) / F.col("n"))).cast("int").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("label", "b"))).alias("_m"))
     times = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(labels, lambda x: F.coalesce(F.element_at("_m", x), F.lit(1)))), F.lit(1)))
     return df.join(F.broadcast(boost)).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_m")
+
+
+#: Fixed value: what leads to a waypoint.
+WAYPOINT_CUE = r"\b(?:direct(?: to)?|proceed|set course|via)\b"
+
+
+def label_estimates(text: Column, labels: list[str]) -> list[Column]:
+    """XO6: for each label how many entities a text may have by the rules; waypoints, which no rule finds, by their cues."""
+    rules = rule_entities(text)
+    count = lambda k: F.size(F.filter(rules, lambda e: e["label"] == k)) + (F.regexp_count(text, F.lit(WAYPOINT_CUE)) if k == "WAYPOINT" else F.lit(0))
+    return [count(k).alias(k) for k in labels]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -132,3 +134,76 @@ def latency(df: DataFrame, by: list[str], seconds: str, duration: Column) -> Dat
     """AG29, NU16, NU17: n, median, p95, mean, max and the ratio of total times."""
     q = F.percentile(seconds, F.array(F.lit(0.5), F.lit(0.95)))
     return df.groupBy(*by).agg(F.count(seconds).alias("n"), F.round(q[0], 6).alias("median_s"), F.round(q[1], 6).alias("p95_s"), F.round(F.avg(seconds), 6).alias("mean_s"), F.round(F.max(seconds), 6).alias("max_s"), F.round(F.sum(seconds) / F.sum(duration), 6).alias("rtf"))
+
+
+def speech_rate(words: Column, seconds: Column) -> Column:
+    """NU8, NU15: words a minute; null without a duration above zero (views show 0.0 instead)."""
+    return F.when(seconds > 0, words / (seconds / 60))
+
+
+def label_recall(gold: DataFrame, pred: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """AG46: by the columns `by` and label: entities of gold as multisets of label and normalised text, how many pred has too, and their share. A row that pred lacks has none."""
+    both = gold.select(key, *by, F.coalesce("entities", F.array().cast(_ENTITIES)).alias("g")).join(pred.select(key, F.coalesce("entities", F.array().cast(_ENTITIES)).alias("p")), key, "left")
+    count = lambda c: F.transform(F.coalesce(c, F.array().cast(_ENTITIES)), lambda e: F.struct(e["label"].alias("label"), F.lower(tx.squeeze(e["text"])).alias("t")))
+    each = both.select(*by, F.explode(F.array_distinct(count("g"))).alias("x"), count("g").alias("g"), count("p").alias("p"))
+    same = lambda c: F.size(F.filter(c, lambda e: e.eqNullSafe(F.col("x"))))
+    n = each.select(*by, "x.label", same("g").alias("n"), F.least(same("g"), same("p")).alias("m")).groupBy(*by, "label").agg(F.sum("m").alias("matched"), F.sum("n").alias("in_gold"))
+    return n.withColumn("recall", F.round(F.col("matched") / F.greatest("in_gold", F.lit(1)), 9))
+
+
+_ENTITIES = "array<struct<text:string,label:string,start:int,end:int>>"
+
+
+def bootstrap_f1(gold: DataFrame, pred: DataFrame, key: str, by: list[str], b: int = 2000, seed: int = 1) -> DataFrame:
+    """AG33: F1 of spans with its 95 % interval from b resamples of rows, by the columns `by`."""
+    spans = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast(_ENTITIES)), lambda e: F.struct(e["start"].alias("s"), e["end"].alias("e"), e["label"].alias("l"))))
+    both = gold.select(key, *by, spans(F.col("entities")).alias("g")).join(pred.select(key, spans(F.col("entities")).alias("p")), key, "left")
+    n = both.select(key, *by, F.coalesce(2 * F.size(F.array_intersect("g", "p")), F.lit(0)).cast("double").alias("twice"), (F.size("g") + F.coalesce(F.size("p"), F.lit(0))).cast("double").alias("all"))
+    return bootstrap(n, key, ["twice"], ["all"], by, b, seed)
+
+
+def run_summary(records: DataFrame, by: list[str], seconds: str) -> DataFrame:
+    """AG41: records of a run by the columns `by`: valid, asked again and without entities in percent, mean and median time."""
+    pct = lambda c: F.round(F.avg(F.when(c, 100.0).otherwise(0.0)), 6)
+    empty = F.coalesce(F.size("entities"), F.lit(0)) <= 0
+    return records.groupBy(*by).agg(F.count("*").alias("n"), pct(F.col("ok")).alias("valid_pct"), pct(F.col("n_rounds") > 1).alias("retry_pct"), pct(empty).alias("empty_pct"), F.round(F.avg(seconds), 4).alias("mean_latency_s"), F.round(F.median(seconds), 4).alias("median_latency_s"))
+
+
+def variant_table(gold: DataFrame, pred: DataFrame, records: DataFrame, key: str, variant: str, labels: list[str]) -> DataFrame:
+    """XO11: for each variant precision, recall and F1 of all spans, F1 of some labels, rows that are exactly alike, and rows asked again in percent."""
+    s = span_scores(gold, pred, key, [variant])
+    every = s.where("label = 'ALL'").select(variant, "precision", "recall", "f1")
+    each = s.groupBy(variant).agg(*(F.coalesce(F.max(F.when(F.col("label") == k, F.col("f1"))), F.lit(0.0)).alias(f"f1_{k.lower()}") for k in labels))
+    rows = records.groupBy(variant).agg(F.count("*").alias("n"), F.count_if(F.col("n_rounds") == 1).alias("exact"), F.round(F.avg(F.when(F.col("n_rounds") > 1, 100.0).otherwise(0.0)), 6).alias("retry_pct"))
+    return rows.join(every, variant, "left").join(each, variant, "left")
+
+
+def flag_validity(rows: DataFrame, flag: str, correct: Column) -> DataFrame:
+    """AG39: flagged and other rows, how many are right, and the share that is wrong in percent."""
+    n = rows.groupBy(flag).agg(F.count("*").alias("rows"), F.count_if(correct).alias("exactly_correct"))
+    return n.withColumn("wrong_pct", F.round(100 * (1 - F.col("exactly_correct") / F.col("rows")), 6))
+
+
+def window_sweep(clips: DataFrame, seconds: str, windows: list[int], words: str, full: str, short: str) -> DataFrame:
+    """AG52, SL15: for each window the clips that fit, their share, the error rates of the full and of the short window, and clips with more than half of their words wrong."""
+    fit = clips.select(F.explode(F.filter(F.array(*map(F.lit, windows)), lambda w: F.col(seconds) <= w)).alias("w"), words, full, short)
+    rate = lambda c: F.round(F.sum(c) / F.greatest(F.sum(words), F.lit(1)), 9)
+    bad = lambda c: F.count_if(2 * F.col(c) > F.col(words))
+    n = fit.groupBy("w").agg(F.count("*").alias("clips"), rate(full).alias("wer_30s"), rate(short).alias("wer_window"), bad(full).alias("bad_clips_30s"), bad(short).alias("bad_clips"))
+    return n.join(F.broadcast(clips.agg(F.count("*").alias("_t")))).withColumn("share", F.round(F.col("clips") / F.col("_t"), 9)).drop("_t")
+
+
+def best_epoch(evaluations: DataFrame, by: list[str], epoch: str, metric: str) -> DataFrame:
+    """AG53: epochs, the least metric, and the first epoch that has it."""
+    return evaluations.groupBy(*by).agg(F.count("*").alias("epochs"), F.round(F.min(metric), 9).alias("best_wer"), F.min_by(epoch, F.struct(metric, epoch)).alias("best_epoch"))
+
+
+def evaluate(gold: DataFrame, predict: Callable[[DataFrame], DataFrame], key: str, by: list[str] | None = None) -> DataFrame:
+    """2.14 predict hook: scores of what predict(rows of key and text) gives as entities by key."""
+    return span_scores(gold, predict(gold.select(key, "text")), key, by)
+
+
+def evaluate_transcripts(clips: DataFrame, transcribe: Callable[[DataFrame], DataFrame], key: str, by: list[str]) -> DataFrame:
+    """2.14 transcriber hook: error rates of what transcribe(clips without their transcript) gives as hypothesis by key, over scoring forms."""
+    said = clips.join(transcribe(clips.drop("transcript")).select(key, "hypothesis"), key, "left")
+    return transcript_errors(said.select(*by, tx.scoring_form(F.col("transcript")).alias("r"), tx.scoring_form(F.col("hypothesis")).alias("h")), "r", "h", by)

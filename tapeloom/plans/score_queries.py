@@ -41,40 +41,37 @@ def wer_by_source(spark, d):
     return scoring.transcript_errors(_pairs(spark, d), "ref", "hyp", ["source"])
 
 
-@query("q_cer", "ST-12", rf"""
-    WITH a AS (SELECT utterance_id, {q.norm('text')} n FROM gold), p AS (SELECT utterance_id, regexp_replace(n, '[^ -~]', '', 'g') r, regexp_replace({_HYP}, '[^ -~]', '', 'g') h FROM a)
-    SELECT utterance_id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) END, 9) cer FROM p""")
+@query("q_cer", "ST-12", _P + """, c AS (SELECT utterance_id, CASE WHEN length(ref) = 0 THEN [] ELSE string_split(ref, '') END r, CASE WHEN length(hyp) = 0 THEN [] ELSE string_split(hyp, '') END h FROM p)
+    SELECT utterance_id, round(CASE WHEN len(r) > 0 THEN """ + q.word_errors("r", "h") + """ / len(r) END, 9) cer FROM c""")
 def cer(spark, d):
-    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return _pairs(spark, d).select("utterance_id", F.round(tx.cer(ascii_(F.col("ref")), ascii_(F.col("hyp"))), 9).alias("cer"))
-
-
-_FREQ = r"\b(?:zero|one|two|three|tree|four|five|six|seven|eight|nine|niner)(?: (?:zero|one|two|three|tree|four|five|six|seven|eight|nine|niner))* decimal(?: (?:zero|one|two|three|tree|four|five|six|seven|eight|nine|niner))+\b"
+    return _pairs(spark, d).select("utterance_id", F.round(tx.cer(F.col("ref"), F.col("hyp")), 9).alias("cer"))
 
 
 @query("q_recalls", "ST-16 ST-17 ST-18 AG22", _P + rf"""
     , x AS (SELECT source, list_filter(r, lambda t: list_contains({q.words(vocab.NUMERALS)}, t)) want, h, ref, hyp FROM e)
     SELECT source, round(avg(CASE WHEN len(want) > 0 THEN len(list_filter(want, lambda t: list_contains(h, t))) / len(want) END), 6) numerals,
-        round(avg(CASE WHEN regexp_matches(ref, '{_FREQ}') THEN CAST(regexp_matches(hyp, '{_FREQ}') AS DOUBLE) END), 6) frequencies FROM x GROUP BY source""")
+        {", ".join(f"round(avg(CASE WHEN regexp_matches(ref, '{p}') THEN CAST(regexp_matches(hyp, '{p}') AS DOUBLE) END), 6) {k}" for k, p in tx.PATTERNS.items())} FROM x GROUP BY source""")
 def recalls(spark, d):
     p = _pairs(spark, d)
-    return p.groupBy("source").agg(F.round(F.avg(tx.token_recall(F.col("ref"), F.col("hyp"), vocab.NUMERALS)), 6).alias("numerals"), F.round(F.avg(tx.pattern_recall(F.col("ref"), F.col("hyp"), tx.PATTERNS["frequency"])), 6).alias("frequencies"))
+    pattern = lambda k: F.round(F.avg(tx.pattern_recall(F.col("ref"), F.col("hyp"), tx.PATTERNS[k])), 6).alias(k)
+    return p.groupBy("source").agg(F.round(F.avg(tx.token_recall(F.col("ref"), F.col("hyp"), vocab.NUMERALS)), 6).alias("numerals"), *map(pattern, tx.PATTERNS))
 
 
-@query("q_error_words", "ST-14 ST-15 XO23")
+@query("q_error_words", "ST-14")
 def error_words(spark, d):
     p = _pairs(spark, d).select(sp.errors_of("ref", "hyp").alias("e")).select(F.explode(F.concat(F.transform(F.col("e")[1], lambda w: F.concat(F.lit("-"), w)), F.col("e")[0])).alias("error"))
     return p.groupBy("error").agg(F.count("*").alias("n"))
 
 
 @query("q_binned_wer", "AG25", _P + """
-    SELECT CASE WHEN w > 0 AND w <= 20 THEN 0 WHEN w > 20 AND w <= 40 THEN 1 WHEN w > 40 AND w <= 400 THEN 2 END bin, count(*) n, round(sum(e) / sum(w), 9) wer FROM e WHERE w > 0 AND w <= 400 GROUP BY 1""")
+    SELECT source, CASE WHEN w <= 20 THEN 0 WHEN w <= 40 THEN 1 ELSE 2 END bin, count(*) n, round(sum(e) / sum(w), 9) wer FROM e WHERE w > 0 GROUP BY 1, 2""")
 def binned_wer(spark, d):
-    p = _pairs(spark, d).withColumns({"e": tx.word_errors(F.col("ref"), F.col("hyp")), "w": tx.word_count(F.col("ref"))})
-    return p.withColumn("bin", profile.bins(F.col("w"), [0, 20, 40, 400])).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.sum("e") / F.sum("w"), 9).alias("wer"))
+    """By source and words: up to 20, up to 40, more. Rows without a word have no rate and no bin."""
+    p = _pairs(spark, d).withColumns({"e": tx.word_errors(F.col("ref"), F.col("hyp")), "w": tx.word_count(F.col("ref"))}).where("w > 0")
+    return p.withColumn("bin", profile.bins(F.col("w"), [0, 20, 40, float("inf")])).groupBy("source", "bin").agg(F.count("*").alias("n"), F.round(F.sum("e") / F.sum("w"), 9).alias("wer"))
 
 
-@query("q_bootstrap_wer", "AG31 AG33")
+@query("q_bootstrap_wer", "AG31")
 def bootstrap_wer(spark, d):
     p = _pairs(spark, d).withColumns({"e": tx.word_errors(F.col("ref"), F.col("hyp")).cast("double"), "w": tx.word_count(F.col("ref")).cast("double")})
     return scoring.bootstrap(p, "utterance_id", ["e"], ["w"], ["source"])
@@ -93,7 +90,7 @@ def latency(spark, d):
     return scoring.latency(read(spark, d, "events"), ["event_type"], "value", F.col("user_id") % 10 + 1)
 
 
-@query("q_baseline_twin", "SC7 JN16 A18 AG53", """
+@query("q_baseline_twin", "JN16 A18", """
     WITH c AS (SELECT event_type || CASE WHEN user_id % 2 = 0 THEN '-dynwin' ELSE '' END config, median(value) m FROM events GROUP BY 1), b AS (SELECT * FROM c WHERE config NOT LIKE 'c%-dynwin')
     SELECT c.config, round(c.m / coalesce(x.m, y.m), 6) ratio FROM c LEFT JOIN b x ON x.config = c.config LEFT JOIN b y ON y.config = replace(c.config, '-dynwin', '')""")
 def baseline_twin(spark, d):
@@ -150,12 +147,15 @@ def exact_sets(spark, d):
     a AS (SELECT queue_id, source, upper({q.key('x.label')}) l, lower(trim(regexp_replace(x.text, '[\\s\\p{{Z}}]+', ' ', 'g'))) t, count(*) n FROM (SELECT queue_id, source, unnest(opta) x FROM q) GROUP BY ALL),
     b AS (SELECT queue_id, source, upper({q.key('x.label')}) l, lower(trim(regexp_replace(x.text, '[\\s\\p{{Z}}]+', ' ', 'g'))) t, count(*) n FROM (SELECT queue_id, source, unnest(optb) x FROM q) GROUP BY ALL),
     m AS (SELECT source, sum(least(a.n, b.n)) m FROM a JOIN b USING (queue_id, source, l, t) GROUP BY source)
-    SELECT source, CAST(m AS BIGINT) matched, CAST((SELECT sum(n) FROM a WHERE a.source = m.source) AS BIGINT) in_gold, CAST((SELECT sum(n) FROM b WHERE b.source = m.source) AS BIGINT) in_pred FROM m""")
+    , t AS (SELECT source, m, (SELECT sum(n) FROM a WHERE a.source = m.source) g, (SELECT sum(n) FROM b WHERE b.source = m.source) p FROM m)
+    SELECT source, CAST(m AS BIGINT) matched, CAST(g AS BIGINT) in_gold, CAST(p AS BIGINT) in_pred, round(CASE WHEN p > 0 THEN m / p ELSE 0 END, 9) "precision", round(CASE WHEN g > 0 THEN m / g ELSE 0 END, 9) recall, round(CASE WHEN m > 0 THEN 2 * m / (g + p) ELSE 0 END, 9) f1 FROM t""")
 def entity_multiset(spark, d):
     a, b = _sides(spark, d)
     j = a.select("queue_id", "source", F.col("entities").alias("g")).join(b.select("queue_id", F.col("entities").alias("p")), "queue_id")
     m, g, p = scoring.multiset_counts(F.col("g"), F.col("p"))
-    return j.groupBy("source").agg(F.sum(m).alias("matched"), F.sum(g).alias("in_gold"), F.sum(p).alias("in_pred"))
+    n = j.groupBy("source").agg(F.sum(m).alias("matched"), F.sum(g).alias("in_gold"), F.sum(p).alias("in_pred"))
+    scores = scoring.prf(F.col("matched"), F.col("in_pred") - F.col("matched"), F.col("in_gold") - F.col("matched"))
+    return n.select("*", *scores[:3])
 
 
 @query("q_overlap_agreement", "AG42 JN14", _SPANS + """
@@ -183,13 +183,15 @@ def runway_template(spark, d):
     return e.agg(F.count("*").alias("spans"), F.count_if(F.col("t").startswith("runway")).alias("led"), F.count_if(tx.word_count(F.col("t")) == 3).alias("of_three"))
 
 
-@query("q_rule_spans", "AR1 XO6 XO8")
+@query("q_rule_spans", "AR1 XO8")
 def rule_spans(spark, d):
     r = read(spark, d, "gold").select("utterance_id", tx.normalize(F.col("text")).alias("text")).withColumn("e", sp.rule_entities("text"))
     return r.select("utterance_id", F.explode("e").alias("e")).select("utterance_id", "e.start", "e.end", "e.label", "e.text")
 
 
-@query("q_constraints", "AR2")
+@query("q_constraints", "AR2", f"""
+    WITH g AS (SELECT {q.norm('text')} u, unnest(entities) x FROM gold), e AS (SELECT u, x.label, {q.norm('x.text')} t FROM g), s AS (SELECT *, string_split(t, ' ') w FROM e WHERE t <> '')
+    SELECT label, {q.constraint()} reason, count(*) n FROM s GROUP BY 1, 2""")
 def constraints(spark, d):
     e = read(spark, d, "gold").select(tx.normalize(F.col("text")).alias("u"), F.explode("entities").alias("x")).select("u", F.col("x.label").alias("label"), tx.normalize(F.col("x.text")).alias("t")).where("t <> ''")
     return e.groupBy("label", sp.constraint(F.col("t"), F.col("label"), F.col("u")).alias("reason")).agg(F.count("*").alias("n"))
@@ -203,25 +205,47 @@ def alignment(spark, d):
     return g.select("utterance_id", F.size("stated").alias("stated"), F.size("found").alias("found"), F.size("merged").alias("merged"))
 
 
-@query("q_iob2", "AR11 AR12 AR13 JN15 WN8")
+def _rows(spark, d) -> DataFrame:
+    """Both sides' labels of each queue row."""
+    a, b = _sides(spark, d)
+    return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+
+
+@query("q_iob2", "AR11 AR12 AR13 JN15 WN8 PF20", q.SIDES + """
+    , g AS (SELECT *, list_transform(t, lambda u: coalesce(list_transform(list_filter(d, lambda x: x.s <= u.s AND u.e <= -x.m), lambda x: CASE WHEN len(list_filter(t, lambda y: y.s < u.s AND y.s >= x.s)) > 0 THEN 'I-' ELSE 'B-' END || x.k)[1], 'O')) g,
+        list_transform(d, lambda x: list_filter(t, lambda u: x.s <= u.s AND u.e <= -x.m)) inside FROM t)
+    SELECT queue_id, side, array_to_string(g, ' ') tags, CAST(len(list_filter(range(1, len(d) + 1), lambda i: len(inside[i]) > 0 AND (inside[i][1].s <> d[i].s OR inside[i][len(inside[i])].e <> -d[i].m))) AS INTEGER) lost,
+        CAST(coalesce(list_sum(list_transform(g, lambda x: CASE WHEN x = 'O' THEN 0 ELSE 2 * list_position(""" + q.words(vocab.LABELS) + """, x[3:]) - CASE WHEN x[1:1] = 'B' THEN 1 ELSE 0 END END)), 0) AS BIGINT) id_sum FROM g""")
 def iob2(spark, d):
-    a, _ = _sides(spark, d)
-    t = a.withColumn("entities", sp.disjoint_entities("text", "entities")).withColumn("tags", sp.tags("text", "entities"))
+    t = _rows(spark, d).withColumn("entities", sp.disjoint_entities("text", "entities")).withColumn("tags", sp.tags("text", "entities"))
     back = t.withColumn("again", sp.tag_entities("text", "tags"))
-    return back.select("queue_id", F.array_join("tags", " ").alias("tags"), F.size(F.array_except("again", "entities")).alias("lost"))
+    ids = F.aggregate(sp.tag_ids("tags"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return back.select("queue_id", "side", F.array_join("tags", " ").alias("tags"), F.size(F.array_except("again", "entities")).alias("lost"), ids.alias("id_sum"))
 
 
-@query("q_missed_verbs", "AR7 AR19")
+@query("q_missed_verbs", "AR7 AR19", q.SIDES + f"""
+    , u AS (SELECT side, o, text, unnest(t) u FROM t), l AS (SELECT side, u.w verb, len(list_filter(o, lambda x: x.s <= u.s AND u.e <= -x.m)) held, ends_with(substring(text, 1, u.s), 'radar ') after FROM u WHERE list_contains({q.words([*vocab.VERBS, *vocab.EXTRA_VERBS])}, u.w))
+    SELECT side, verb, count_if(held = 0 AND NOT (verb = 'contact' AND after)) n, count_if(held > 0) held FROM l GROUP BY 1, 2""")
 def missed_verbs(spark, d):
-    a, _ = _sides(spark, d)
-    return a.select(F.explode(sp.missed("text", "entities")).alias("verb")).groupBy("verb").agg(F.count("*").alias("n"))
-
-
-@query("q_rendered", "AR8 ST-19 PF20 AG55 ST-27 AR20 AR21")
+    """For each side and verb how often it is missed, and how often a word of it has a label."""
+    verbs = [*vocab.VERBS, *vocab.EXTRA_VERBS]
+    r = _rows(spark, d)
+    loose = r.select("side", F.explode(sp.missed("text", "entities")).alias("verb")).select("side", "verb", F.lit(1).alias("n"), F.lit(0).alias("held"))
+    words = F.zip_with(sp.located(F.col("text")), sp.labels_of_words("text", "entities"), lambda t, k: F.struct(t["w"].alias("verb"), k.isNotNull().cast("int").alias("held")))
+    held = r.select("side", F.explode(F.filter(words, lambda x: x["verb"].isin(verbs))).alias("x")).select("side", "x.verb", F.lit(0).alias("n"), "x.held")
+    return loose.unionByName(held).groupBy("side", "verb").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+
+
+@query("q_rendered", "AR8 ST-19 PF20 AG55 ST-27 AR20 AR21", q.SIDES + """
+    , x AS (SELECT *, list_transform(d, lambda y: {'text': substring(text, y.s + 1, -y.m - y.s), 'label': y.k, 'start': y.s, 'end': -y.m}) e FROM t),
+    y AS (SELECT *, array_to_string(list_transform(e, lambda z: z.label || chr(32) || chr(39) || z.text || chr(39)), '; ') said0 FROM x)
+    SELECT queue_id, side, array_to_string(list_transform(range(1, len(d) + 1), lambda i: substring(text, CASE WHEN i > 1 THEN -(d[i - 1].m) ELSE 0 END + 1, d[i].s - CASE WHEN i > 1 THEN -(d[i - 1].m) ELSE 0 END) || '[' || e[i].text || ' | ' || e[i].label || ']'), '') || substring(text, CASE WHEN len(d) > 0 THEN -(d[len(d)].m) ELSE 0 END + 1) shown,
+        CASE WHEN len(e) > 0 THEN said0 ELSE 'none' END said, sha1(to_json({'text': text, 'e': e})) cache_key, sha1('Utterance: ' || text || CASE WHEN len(e) > 0 THEN E'\\nHints: ' || said0 ELSE '' END) prompt_key,
+        array_to_string(list_transform(list_filter(range(1, len(e) + 1), lambda i: e[i].label = 'CALLSIGN' AND len(list_filter(e[1:i - 1], lambda z: z.label = 'CALLSIGN' AND z.text = e[i].text)) = 0), lambda i: e[i].text), ', ') headline FROM y""")
 def rendered(spark, d):
-    a, _ = _sides(spark, d)
-    a = a.withColumn("e", sp.disjoint_entities("text", "entities"))
-    return a.select("queue_id", sp.rendered(F.col("text"), F.col("e")).alias("shown"), sp.shown_entities(F.col("e")).alias("said"), F.sha1(F.to_json(F.struct("text", "e"))).alias("cache_key"), F.sha1(tx.prompt(F.col("text"), F.col("e"))).alias("prompt_key"))
+    a = _rows(spark, d).withColumn("e", sp.disjoint_entities("text", "entities"))
+    headline = F.array_join(F.array_distinct(F.transform(F.filter("e", lambda x: x["label"] == "CALLSIGN"), lambda x: x["text"])), ", ")
+    return a.select("queue_id", "side", sp.rendered(F.col("text"), F.col("e")).alias("shown"), sp.shown_entities(F.col("e")).alias("said"), F.sha1(F.to_json(F.struct("text", "e"))).alias("cache_key"), F.sha1(tx.prompt(F.col("text"), F.col("e"))).alias("prompt_key"), headline.alias("headline"))
 
 
 def _curated(spark, d) -> DataFrame:
@@ -232,17 +256,17 @@ def _curated(spark, d) -> DataFrame:
     return curation.curate(r, e, {"train": "train", "validation": "dev", "test": "test_llm"}, ["dev", "test_llm"])
 
 
-@query("q_curate", "AR9 AR10 SK4 JN5")
+@query("q_curate", "AR9 JN5")
 def curate(spark, d):
     return _curated(spark, d).select("id", "split", "route", F.array_join("signals", ",").alias("signals"))
 
 
-@query("q_curate_manifest", "AG35 AG36 AG39 AG40")
+@query("q_curate_manifest", "AG35 AG36 AG40")
 def curate_manifest(spark, d):
     return writers.manifest(_curated(spark, d))
 
 
-@query("q_adjudicate", "JN13 AR16 AR17 AR18 SO7 AG44")
+@query("q_adjudicate", "JN13 AR17 AR18 SO7")
 def adjudicate(spark, d):
     a, b = _sides(spark, d)
     return curation.adjudicate(a, b, "queue_id", 6).select("queue_id", F.size("diffs").alias("diffs"), "outcome", "shown_first")
@@ -287,7 +311,7 @@ def pauses(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.explode(audio.pauses(F.col("embedding"), 64, 0.4, 8, 2)).alias("s")).select("vec_id", "s.*")
 
 
-@query("q_window_sweep", "AG52 SL15 NU15", """
+@query("q_window_sweep", "SL15", """
     WITH w AS (SELECT unnest([4, 6, 8, 10, 15, 20, 30]) w) SELECT w, count(*) clips, round(count(*) / (SELECT count(*) FROM samples WHERE duration_s > 0), 9) AS share,
         count_if(w = (SELECT min(x.w) FROM w x WHERE x.w >= duration_s)) smallest FROM samples JOIN w ON duration_s > 0 AND duration_s <= w GROUP BY w""")
 def window_sweep(spark, d):
@@ -304,7 +328,7 @@ def corpus_text(spark, d):
     return g.groupBy("source", "part").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utterance_id", "t"))), lambda x: x["t"]), " ")).alias("corpus"))
 
 
-@query("q_json_props", "AR15 AR25 SC8", """SELECT event_type, count(*) n, count_if(json_valid(props)) good, count(DISTINCT json_extract_string(props, '$.' || json_keys(props)[1])) firsts FROM events GROUP BY 1""")
+@query("q_json_props", "AR25 SC8", """SELECT event_type, count(*) n, count_if(json_valid(props)) good, count(DISTINCT json_extract_string(props, '$.' || json_keys(props)[1])) firsts FROM events GROUP BY 1""")
 def json_props(spark, d):
     e = read(spark, d, "events")
     first = F.get(F.map_values(F.from_json("props", "map<string,string>")), F.lit(0))
@@ -317,14 +341,8 @@ def event_windows(spark, d):
     return streams.event_windows(read(spark, d, "events"), "1 day").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("q_sessions", "extension 2.13 WN10", """
+@query("q_sessions", "extension 2.13", """
     WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END s FROM events), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM a)
     SELECT user_id, min(ts) session_start, count(*) n FROM b GROUP BY user_id, g""")
 def sessions(spark, d):
     return streams.sessions(read(spark, d, "events"), "6 hours").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
-
-
-@query("q_run_progress", "AG41 AG51 SR3", "SELECT count(*) annotated, 5000 pool_size, round(avg(1.0), 9) ok_rate, round(avg(0.0), 9) retry_rate, CAST(sum(len(coalesce(entities, []))) AS BIGINT) labels FROM gold")
-def run_progress(spark, d):
-    g = read(spark, d, "gold").select(F.coalesce("entities", F.array().cast("array<struct<text:string,label:string,span:array<int>>>")).alias("entities"), F.lit(True).alias("ok"), F.lit(1).alias("n_rounds"))
-    return streams.run_progress(g, 5000)

@@ -13,7 +13,7 @@ from tapeloom.plans.tables import read
 from tapeloom.sources import readers, writers
 
 
-@query("q_group_split", "WN7 ST-10 PF18", f"""
+@query("q_group_split", "WN7", f"""
     WITH g AS (SELECT CASE WHEN source_id IS NULL THEN 'none' ELSE source_id END k, count(*) n FROM heldout GROUP BY 1),
     o AS (SELECT k, n, md5('7:' || k) h, (SELECT count(*) FROM heldout) total FROM g),
     x AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ex FROM o),
@@ -28,7 +28,7 @@ def group_split(spark, d):
 _SRC = q.key("dataset_source")
 
 
-@query("q_equal_sample", "SL7 SC3 XO13", f"""
+@query("q_equal_sample", "SL7 XO13", f"""
     WITH g AS (SELECT utterance_id, {_SRC} s FROM gold), k AS (SELECT s, count(*) c, row_number() OVER (ORDER BY s) - 1 i, (SELECT count(DISTINCT s) FROM g) n FROM g GROUP BY s),
     r AS (SELECT utterance_id, s, row_number() OVER (PARTITION BY s ORDER BY md5('3:' || utterance_id), utterance_id) r FROM g)
     SELECT utterance_id, s source FROM r JOIN k USING (s) WHERE r <= 303 // n + CASE WHEN i < 303 % n THEN 1 ELSE 0 END""")
@@ -58,9 +58,10 @@ def targeted_sample(spark, d):
 
 @query("q_quota_select", "SL11 XO6")
 def quota_select(spark, d):
-    n = lambda label: F.size(F.filter(F.coalesce("entities.label", F.array().cast("array<string>")), lambda x: F.upper(name_key(x)) == label)).alias(label)
-    e = read(spark, d, "gold").select("utterance_id", *(n(x) for x in ("SQUAWK", "RUNWAY", "HEADING")))
-    return sampling.quota_select(e, [("SQUAWK", 1), ("RUNWAY", 3), ("HEADING", 2)], 25, "utterance_id", 4)
+    """Without SQL: the choice is sequential."""
+    g = read(spark, d, "gold").select("utterance_id", tx.normalize(F.col("text")).alias("t"))
+    labels = ["SQUAWK", "RUNWAY", "HEADING", "WAYPOINT"]
+    return sampling.quota_select(g.select("utterance_id", *sampling.label_estimates(F.col("t"), labels)), [("SQUAWK", 1), ("RUNWAY", 3), ("HEADING", 2), ("WAYPOINT", 4)], 25, "utterance_id", 4)
 
 
 @query("q_quantile_picks", "SL13", """
@@ -130,17 +131,18 @@ def sample_catalog(spark, d):
     return readers.sample_catalog(read(spark, d, "samples")).select("id", "split", "note", "label")
 
 
-@query("q_artifact_plan", "SK11 SK12 SO8 AR24 XO3 XO20", """
-    WITH r AS (SELECT 'doc/' || doc_id AS key, md5(coalesce(text, '')) h FROM documents WHERE doc_id % 7 <> 0), l AS (SELECT 'doc/' || doc_id AS key, md5(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) h FROM documents WHERE doc_id % 3 <> 0)
+@query("q_artifact_plan", "SK12 SO8", """
+    WITH r AS (SELECT 'doc/' || doc_id AS key, md5(coalesce(text, '')) h FROM documents WHERE lang IS NOT NULL OR source IS NULL), l AS (SELECT 'doc/' || doc_id AS key, md5(trim(coalesce(text, ''))) h FROM documents WHERE source IS NOT NULL OR lang IS NULL)
     SELECT key, CASE WHEN l.h IS NULL THEN 'new' WHEN r.h IS NULL THEN 'local-only' WHEN l.h = r.h THEN 'unchanged' ELSE 'conflict' END AS action FROM r FULL JOIN l USING (key)""")
 def artifact_plan(spark, d):
-    t = read(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), "doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("t"))
-    remote = t.where("doc_id % 7 <> 0").select("key", F.md5("t").alias("sha256"))
-    local = t.where("doc_id % 3 <> 0").select("key", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("t", F.lit("x"))).otherwise(F.col("t"))).alias("sha256"))
+    """Documents as two inventories: one lacks those without a language, the other those without a source, and holds texts without blanks at their ends; none stands on neither side."""
+    t = read(spark, d, "documents").select("lang", "source", F.concat(F.lit("doc/"), "doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("t"))
+    remote = t.where("lang is not null or source is null").select("key", F.md5("t").alias("sha256"))
+    local = t.where("source is not null or lang is null").select("key", F.md5(F.trim("t")).alias("sha256"))
     return writers.download_plan(remote, local)
 
 
-@query("q_model_store", "AG56 SC15 XO2", """
+@query("q_model_store", "AG56", """
     WITH k AS (SELECT lang task, source model, created_at FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND created_at IS NOT NULL)
     SELECT task, model, list_sort(list_distinct(list(strftime(created_at, '%Y%m')))) runs, max(strftime(created_at, '%Y%m')) latest FROM k GROUP BY 1, 2""")
 def model_store(spark, d):
@@ -158,7 +160,7 @@ def oversample(spark, d):
     return sampling.oversample(s, F.col("labels"), n, 3000, 4).select("id", "copy")
 
 
-@query("q_integrity", "PF24 PF25 SC18 XO19", """
+@query("q_integrity", "PF24", """
     SELECT 'gold' AS part, count(*) n, count(DISTINCT utterance_id) ids FROM gold UNION ALL SELECT 'samples', count(*), count(DISTINCT id) FROM samples""")
 def integrity(spark, d):
     g, s = read(spark, d, "gold").select(F.col("utterance_id").alias("id")), read(spark, d, "samples").select("id")

@@ -78,7 +78,7 @@ def quality_dropped(spark, d):
     return _cleaned(spark, d).dropped.select("id", "dropped_by")
 
 
-@query("q_quality_log", "AG6 PF23", _AUDIO + """
+@query("q_quality_log", "AG6", _AUDIO + """
     , k AS (SELECT unnest(['missing_audio', 'missing_transcript', 'zero_or_negative_duration', 'corrupt_audio', 'duplicate_row', 'repeated_transcript']) stage, unnest(range(1, 7)) step),
     n AS (SELECT k.stage, CAST(step AS INTEGER) step, (SELECT count(*) FROM l WHERE l.stage = k.stage) removed, (SELECT count(*) FROM l) total FROM k),
     o AS (SELECT *, total - sum(removed) OVER (ORDER BY step) AS rows_out FROM n)
@@ -109,7 +109,7 @@ def describe_duration(spark, d):
     return profile.describe(read(spark, d, "samples"), ["source"], "duration_s")
 
 
-@query("q_hours_share", "AG9 AG41", """
+@query("q_hours_share", "AG9", """
     SELECT source, count(*) n, round(sum(CASE WHEN duration_s > 0 THEN duration_s END) / 3600, 6) AS "hours", round(100 * count(*) / (SELECT count(*) FROM samples), 6) pct FROM samples GROUP BY source""")
 def hours_share(spark, d):
     s = read(spark, d, "samples")
@@ -144,7 +144,7 @@ def top_words(spark, d):
     return profile.top_words(g, ["source"], F.col("t"), vocab.NUMERALS, 15)
 
 
-_NULLS = ["text", "dataset_split", "selection_reason", "speaker_id", "source_id", "recorded_at"]
+_NULLS = ["utterance_id", "text", "dataset_split", "selection_reason", "blind", "source_id", "speaker_id", "recorded_at", "ingested_at"]
 
 
 @query("q_null_rates", "AG14 AG15", " UNION ALL ".join(f"""
@@ -171,21 +171,13 @@ def time_range(spark, d):
 
 
 @query("q_split_pivot", "AG19", f"""
-    SELECT {q.key('dataset_source')} source, count_if({q.key('dataset_split')} = 'train') train, count_if({q.key('dataset_split')} = 'validation') validation, count_if({q.key('dataset_split')} = 'test') test, count(*) total FROM heldout GROUP BY 1""")
+    WITH c AS (SELECT {q.key('dataset_source')} source, count_if({q.key('dataset_split')} = 'train') train, count_if({q.key('dataset_split')} = 'validation') validation, count_if({q.key('dataset_split')} = 'test') test, count(*) total FROM heldout GROUP BY 1)
+    SELECT *, round(100 * train / total, 6) train_pct, round(100 * validation / total, 6) validation_pct, round(100 * test / total, 6) test_pct FROM c""")
 def split_pivot(spark, d):
     h = read(spark, d, "heldout").select(name_key(F.col("dataset_source")).alias("source"), name_key(F.col("dataset_split")).alias("split"))
-    p = h.groupBy("source").pivot("split", ["train", "validation", "test"]).count().na.fill(0)
-    return p.join(h.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("total")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-
-
-@query("q_label_crosstab", "AG20 AG35", f"""
-    WITH l AS (SELECT unnest({q.words(vocab.LABELS)}) label), e AS (SELECT {q.key('source')} source, upper({q.key('x.label')}) label FROM (SELECT source, unnest(entities) x FROM samples))
-    SELECT l.label, count_if(source = 'simtower') simtower, count_if(source = 'fieldtapenorth') fieldtapenorth, count(e.label) total FROM l LEFT JOIN e ON l.label = e.label GROUP BY 1""")
-def label_crosstab(spark, d):
-    e = read(spark, d, "samples").select(name_key(F.col("source")).alias("source"), F.explode("entities.label").alias("l")).select("source", F.upper(name_key(F.col("l"))).alias("label"))
-    n = e.groupBy("label").agg(F.count_if(F.col("source") == "simtower").alias("simtower"), F.count_if(F.col("source") == "fieldtapenorth").alias("fieldtapenorth"), F.count("*").alias("total"))
-    labels = spark.createDataFrame([(x,) for x in vocab.LABELS], "label string")
-    return labels.join(n, "label", "left").na.fill(0)
+    splits = ("train", "validation", "test")
+    p = h.groupBy("source").agg(*(F.count_if(F.col("split") == x).alias(x) for x in splits), F.count("*").alias("total"))
+    return p.select("*", *(F.round(100 * F.col(x) / F.col("total"), 6).alias(f"{x}_pct") for x in splits))
 
 
 @query("q_label_by_source", "AG20 AG35", f"""
@@ -203,7 +195,7 @@ def label_by_source(spark, d):
     r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2 ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2 rb FROM s)
     SELECT source, count(*) n, round(corr(ra, rb), 6) rho FROM r GROUP BY source""")
 def spearman(spark, d):
-    return profile.spearman(read(spark, d, "samples").withColumn("size", F.length("ground_truth")).where("source is not null"), ["source"], "duration_s", "size")
+    return profile.spearman(read(spark, d, "samples").withColumn("size", F.length("ground_truth")), ["source"], "duration_s", "size")
 
 
 @query("q_correlations", "AG23", " UNION ALL ".join(f"SELECT source, '{a}' a, '{b}' b, round(corr({x}, {y}), 6) r FROM samples GROUP BY source" for (a, x), (b, y) in [(("duration_s", "duration_s"), ("size", "length(ground_truth)")), (("duration_s", "duration_s"), ("spans", "len(entities)")), (("size", "length(ground_truth)"), ("spans", "len(entities)"))]))
@@ -246,9 +238,13 @@ def duplicate_keys(spark, d):
     return profile.duplicates(read(spark, d, "gold").withColumn("n", tx.normalize(F.col("text"))).select("n", "dataset_source", "utterance_id"), {"text": ["n"], "text and source": ["n", "dataset_source"], "id": ["utterance_id"]})
 
 
-@query("q_dictionary", "AG48 SK16 XO22", """SELECT 'lang' AS "column", 'string' AS type, 'language' AS definition, min(lang) example FROM documents UNION ALL SELECT 'source', 'string', '', min(source) FROM documents UNION ALL SELECT 'n_chars', 'bigint', 'size in characters', min(CAST(n_chars AS VARCHAR)) FROM documents""")
+_DICTIONARY = {"doc_id": ("bigint", "id"), "text": ("string", ""), "lang": ("string", "language"), "source": ("string", ""), "n_chars": ("bigint", "size in characters"), "station": ("string", ""), "created_at": ("timestamp", "time of writing")}
+
+
+@query("q_dictionary", "AG48 SK16 XO22", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", '{k}' AS type, '{why}' AS definition, {f"strftime(min({c}), '%Y-%m-%d %H:%M:%S')" if c == "created_at" else f"CAST(min({c}) AS VARCHAR)"} example, count({c}) non_null, round(100 * (1 - count({c}) / count(*)), 6) missing_pct, count(DISTINCT {c}) "distinct" FROM documents""" for c, (k, why) in _DICTIONARY.items()))
 def dictionary(spark, d):
-    return profile.dictionary(read(spark, d, "documents").select("lang", "source", "n_chars"), {"lang": "language", "n_chars": "size in characters"})
+    return profile.dictionary(read(spark, d, "documents"), {c: why for c, (_, why) in _DICTIONARY.items()})
 
 
 @query("q_flow", "AG47 SO3", f"""

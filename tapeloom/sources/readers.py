@@ -37,7 +37,7 @@ def split_table(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("dataset_split") == split)
 
 
-def _numbered(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """df with _number, from 0 within each value of `by` in the given order: a row's place in its range slice, after the rows of the slices before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written, as the bounds of the slices are sampled and must not be drawn anew
@@ -59,7 +59,7 @@ def union_sources(sources: dict[str, DataFrame], renames: dict[str, str], order:
     splits = [df.select("original_split").distinct() for df in sources.values()]
     for name, df in sources.items():
         d = df.withColumnsRenamed(renames)
-        d = _numbered(d, "original_split", order).withColumn("dataset_source", F.lit(name)).withColumn("utterance_id", F.format_string("%s-%s-%06d", F.lit(name), "original_split", "_number")).drop("_number")
+        d = numbered(d, "original_split", order).withColumn("dataset_source", F.lit(name)).withColumn("utterance_id", F.format_string("%s-%s-%06d", F.lit(name), "original_split", "_number")).drop("_number")
         if common_splits:
             for s in splits:
                 d = d.join(s, "original_split", "left_semi")
@@ -128,15 +128,39 @@ def wav_clips(spark: SparkSession, folder: str, features: bool = True, most_byte
     return files.select("path", "length", "content").mapInPandas(run, "audio_path string, sample_rate int, audio_checksum string, rms_energy double, silence_pct double, snr_db_proxy double, zero_crossing_rate double, spectral_centroid_hz double, spectral_bandwidth_hz double, duration_sec double, error string")
 
 
+def log_tail(spark: SparkSession, path: str, most: int = 3_000_000) -> DataFrame:
+    """SC13: lines (at, value) of the last `most` bytes of a log, in order; a line the tail cuts into is left out. Progress bars redraw with carriage returns, which end lines too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    lines = spark.read.text(path, wholetext=True).select(F.encode("value", "utf-8").alias("b"))
+    tail = F.decode(F.when(F.lit(size) > most, F.substring("b", max(size - most, 0) + 1, most)).otherwise(F.col("b")), "utf-8")
+    parts = F.split(tail, r"[\r\n]+")
+    kept = F.slice(parts, 2, F.size(parts)) if size > most else parts
+    return lines.select(F.posexplode(kept).alias("at", "value")).where(F.trim("value") != "")
+
+
+def training_status(events: DataFrame) -> DataFrame:
+    """SC13: one row of a log's events (at, from log_events): the last step of the training bar, losses and evaluations, test scores.
+
+    The training bar is the one whose total is redrawn most often (the larger total where two are): validation and loading bars have other totals. Without bars the step is null.
+    """
+    bars = events.where("total is not null")
+    main = bars.groupBy("total").agg(F.count("*").alias("n")).agg(F.max_by("total", F.struct("n", "total")).alias("total"))
+    last = bars.join(F.broadcast(main), "total").agg(F.max_by(F.struct("done", "total", "elapsed_s", "left_s"), "at").alias("bar"))
+    n = events.agg(F.count("loss").alias("losses"), F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("at"))).alias("latest_loss"), F.count("eval_wer").alias("evaluations"), F.min("eval_wer").alias("best_wer"), F.max_by("test_wer", F.when(F.col("test_wer").isNotNull(), F.col("at"))).alias("test_wer"), F.max_by("test_cer", F.when(F.col("test_cer").isNotNull(), F.col("at"))).alias("test_cer"))
+    return n.join(F.broadcast(last)).select("bar.done", "bar.total", "bar.elapsed_s", "bar.left_s", "losses", "latest_loss", "evaluations", "best_wer", "test_wer", "test_cer")
+
+
 def log_events(lines: DataFrame, line: str = "value") -> DataFrame:
-    """SC13, SR4: progress bars (done, total, elapsed and left seconds), losses and evaluations from log lines; batch or stream."""
+    """SC13, SR4: progress bars (done, total, elapsed and left seconds), losses, evaluations and test scores from log lines; batch or stream."""
     from tapeloom.functions.text import clock_seconds
 
     c = F.col(line)
     bar, num = r"(\d+)/(\d+) \[([\d:?]+)<([\d:?]+)", r"'%s': '?([-\d.e]+)"
     get = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
-    df = lines.withColumns({"done": get(bar, 1).cast("long"), "total": get(bar, 2).cast("long"), "elapsed_s": clock_seconds(get(bar, 3)), "left_s": clock_seconds(get(bar, 4)), "loss": get(num % "loss", 1).cast("double"), "eval_wer": get(num % "eval_wer", 1).cast("double"), "epoch": get(num % "epoch", 1).cast("double")})
-    return df.where("done is not null or loss is not null or eval_wer is not null")
+    found = {"done": get(bar, 1).cast("long"), "total": get(bar, 2).cast("long"), "elapsed_s": clock_seconds(get(bar, 3)), "left_s": clock_seconds(get(bar, 4))}
+    found |= {k: get(num % k, 1).cast("double") for k in ("loss", "eval_wer", "epoch")} | {f"test_{k}": get(rf"(?i)test.*?{k}\W+([\d.]+)", 1).cast("double") for k in ("wer", "cer")}
+    return lines.withColumns(found).where("done is not null or loss is not null or eval_wer is not null or test_wer is not null")
 
 
 def prefixes(paths: DataFrame, path: str, depth: int) -> DataFrame:

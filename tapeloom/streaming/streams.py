@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tapeloom.functions.names import name_key
 from tapeloom.sources.readers import log_events
 from tapeloom.sources.writers import signature
 
@@ -22,9 +23,22 @@ def annotate_stream(spark: SparkSession, source: str, schema: str, annotate: Cal
     return annotate(rows).writeStream.format("json").option("checkpointLocation", f"{out}/{sig}/_checkpoint").trigger(availableNow=True).start(f"{out}/{sig}/records")
 
 
-def run_progress(records: DataFrame, pool_size: int) -> DataFrame:
-    """AG51, SR3: annotated rows, shares of good and repeated ones, and the number of labels."""
-    return records.agg(F.count("*").alias("annotated"), F.lit(pool_size).alias("pool_size"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("ok_rate"), F.round(F.avg((F.col("n_rounds") > 1).cast("double")), 9).alias("retry_rate"), F.sum(F.size("entities")).alias("labels"))
+def run_progress(records: DataFrame, pool: DataFrame) -> DataFrame:
+    """AG51, SR3: annotated rows of a pool (one row: pool_size, elapsed seconds), shares of good rows and of those asked again, rows a second, and seconds left at this rate."""
+    one = records.agg(F.count("*").alias("annotated"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("ok_rate"), F.round(F.avg((F.col("n_rounds") > 1).cast("double")), 9).alias("retry_rate")).join(F.broadcast(pool))
+    rate = F.try_divide(F.col("annotated"), F.col("elapsed"))
+    return one.select("annotated", "pool_size", "ok_rate", "retry_rate", F.round(rate, 12).alias("rate_per_s"), F.round(F.try_divide(F.col("pool_size") - F.col("annotated"), rate), 3).alias("eta_s"))
+
+
+def run_labels(records: DataFrame, by: list[str]) -> DataFrame:
+    """AG51: labels given so far, by kind and the columns `by`."""
+    return records.select(*by, F.explode("entities").alias("e")).groupBy(*by, F.upper(name_key(F.col("e.label"))).alias("label")).agg(F.count("*").alias("n"))
+
+
+def last_values(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """WN10: the last n rows by the columns `by`; each task keeps no more before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
