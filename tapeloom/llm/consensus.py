@@ -6,18 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.names import name_key
-from tapeloom.plans.tables import read, written
+from tapeloom.operators.skew import lookup_join
+from tapeloom.plans.tables import drop_written, read, written
 
 #: The nine labels; the tenth answer is "no entity".
 LABELS = ["ALTITUDE", "CALLSIGN", "COMMAND", "FACILITY", "FREQUENCY", "HEADING", "RUNWAY", "SQUAWK", "WAYPOINT"]
 NONE = ""
-#: Expectation-maximisation rounds, gradient steps on difficulty within each, step sizes, and the standard deviations of the normal priors.
-ROUNDS, INNER, STEP_B, STEP_A, SD_B, SD_A = 12, 4, 0.5, 1.0, 1.0, 2.0
-#: Up to so many annotators the skills travel with the tasks (a table of 16 bytes each); above, they are joined to the answers.
+#: Rounds end when no skill moves by more than TOLERANCE, or after ROUNDS (then `converged` is false); so do the steps on difficulty within a round. Standard deviations of the normal priors.
+ROUNDS, INNER, TOLERANCE, SD_B, SD_A = 200, 30, 0.005, 1.0, 2.0
+#: Up to so many annotators the skills travel with the tasks (8 bytes each); above, they are joined to the answers.
 MAX_SENT = 500_000
 
 
@@ -41,103 +42,116 @@ def answers(queue: DataFrame) -> DataFrame:
     return given.select("utterance_id", "span_start", "annotator", F.explode(F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.lit(NONE)))).alias("label"))
 
 
-def _infer(item: np.ndarray, label: np.ndarray, alpha: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior n x K, difficulty parameter b of each item, gradient of each answer's skill) given the answers' skills.
+def _infer(item: np.ndarray, label: np.ndarray, alpha: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior n x K, difficulty parameter b of each item, gradient and curvature of each answer's skill) given the answers' skills.
 
-    An answer is right with the chance sigmoid(skill * exp(b)), else any other label alike. Difficulty climbs its gradient from its prior between E-steps.
+    An answer is right with the chance sigmoid(skill * exp(b)), else any other label alike. Difficulty climbs from its prior by steps of its gradient over its curvature, an E-step before each, until it rests.
     """
     k = len(LABELS) + 1
     b = np.zeros(n)
     flat = item * k + label
 
-    def e_step() -> tuple[np.ndarray, np.ndarray]:
-        p = 1 / (1 + np.exp(-np.clip(alpha * np.exp(b)[item], -30, 30)))
-        p = np.clip(p, 1e-6, 1 - 1e-6)
-        odds = np.log(p) - np.log((1 - p) / (k - 1))
-        post = np.bincount(flat, odds, n * k).reshape(n, k)
-        post = np.exp(post - post.max(axis=1, keepdims=True))
-        return post / post.sum(axis=1, keepdims=True), p
+    def e_step() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scale = np.exp(b)[item]
+        p = np.clip(1 / (1 + np.exp(-np.clip(alpha * scale, -30, 30))), 1e-6, 1 - 1e-6)
+        post = np.bincount(flat, np.log(p * (k - 1) / (1 - p)), n * k).reshape(n, k)
+        post = np.exp(post - post.max(axis=1)[:, None])
+        return post / post.sum(axis=1)[:, None], p, scale
 
     for _ in range(INNER):
-        post, p = e_step()
-        right = post.reshape(-1)[flat]
-        grad = np.bincount(item, (right - p) * alpha, n) * np.exp(b) - b / SD_B**2
-        b = np.clip(b + STEP_B * grad / np.maximum(np.bincount(item, minlength=n), 1), -3, 3)
-    post, p = e_step()
-    return post, b, (post.reshape(-1)[flat] - p) * np.exp(b)[item]
-
-
-def _read(batch: pa.RecordBatch, skills: dict[str, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        post, p, scale = e_step()
+        slope = alpha * scale
+        grad = np.bincount(item, (post.reshape(-1)[flat] - p) * slope, n) - b / SD_B**2
+        curve = np.bincount(item, p * (1 - p) * slope**2, n) + 1 / SD_B**2
+        step = np.clip(grad / curve, -1, 1)
+        b = np.clip(b + step, -3, 3)
+        if not n or np.abs(step).max() < TOLERANCE:
+            break
+    post, p, scale = e_step()
+    return post, b, (post.reshape(-1)[flat] - p) * scale, p * (1 - p) * scale**2
+
+
+def _read(batch: pa.RecordBatch, skills: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, label, skill, annotator) of each answer of a batch."""
     given = batch.column("answers")
-    item = np.repeat(np.arange(batch.num_rows), np.diff(given.offsets.to_numpy()))
+    item = np.repeat(np.arange(batch.num_rows), given.value_lengths().to_numpy(zero_copy_only=False))
     flat = given.flatten()
-    who = flat.field("annotator").to_pylist()
-    alpha = np.array([skills[w] for w in who] if skills is not None else flat.field("skill").to_numpy(zero_copy_only=False), float)
-    return item, flat.field("code").to_numpy(zero_copy_only=False).astype(np.int64), alpha, who
+    who = flat.field("who").to_numpy(zero_copy_only=False)
+    return item, flat.field("code").to_numpy(zero_copy_only=False).astype(np.int64), skills[who] if skills is not None else flat.field("skill").to_numpy(zero_copy_only=False), who
 
 
-def _gradients(skills: dict[str, float] | None):
+def _gradients(skills: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[float]] = {}
         for b in batches:
             item, label, alpha, who = _read(b, skills)
-            names, row = np.unique(np.array(who, object).astype(str), return_inverse=True)
-            grad = _infer(item, label, alpha, b.num_rows)[2]
-            for w, g, c in zip(names.tolist(), np.bincount(row, grad).tolist(), np.bincount(row).tolist()):
-                s = sums.setdefault(w, [0.0, 0.0])
-                s[0] += g
-                s[1] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s[0] for s in sums.values()], pa.float64()), pa.array([s[1] for s in sums.values()], pa.float64())], ["annotator", "g", "n"])
+            _, _, g, h = _infer(item, label, alpha, b.num_rows)
+            some, row = np.unique(who, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.bincount(row, g, len(some))), pa.array(np.bincount(row, h, len(some)))], ["who", "g", "h"])
 
     return run
 
 
-def _posteriors(skills: dict[str, float] | None):
+def _posteriors(skills: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             item, label, alpha, _ = _read(b, skills)
-            post, diff, _ = _infer(item, label, alpha, b.num_rows)
+            post, diff, _, _ = _infer(item, label, alpha, b.num_rows)
             # rounded, so that ties go to the first label by name whatever the order of the answers; "no entity" is the last
             top = np.round(post, 9).argmax(axis=1)
             names = np.array([*LABELS, NONE], object)
-            yield pa.RecordBatch.from_arrays([b.column("utterance_id"), b.column("span_start"), pa.array(names[top], pa.string()), pa.array(np.round(post.max(axis=1), 6)), pa.array(np.round(np.exp(-diff), 6)), pa.array(np.bincount(item, minlength=b.num_rows))], ["utterance_id", "span_start", "label", "posterior", "difficulty", "answers"])
+            yield pa.RecordBatch.from_arrays([b.column("utterance_id"), b.column("span_start"), pa.array(names[top], pa.string()), pa.array(np.round(post.max(axis=1), 6) if b.num_rows else np.zeros(0)), pa.array(np.round(np.exp(-diff), 6)), pa.array(np.bincount(item, minlength=b.num_rows))], ["utterance_id", "span_start", "label", "posterior", "difficulty", "answers"])
 
     return run
 
 
 def latent_consensus(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(consensus: utterance_id, span_start, label, posterior, difficulty, answers; annotators: annotator, skill, reliability, answers, agreement; agreement: one row).
+    """(consensus: utterance_id, span_start, label, posterior, difficulty, answers; annotators: annotator, skill, reliability, answers, agreement, converged; agreement: one row).
 
-    Gradient expectation-maximisation for annotators' skills and items' difficulties together. Items' answers are grouped once and written; each round is one pass
-    that gives every annotator's summed gradient, and one step on the skills (normal prior around 1). Difficulty is found anew from the skills in each pass, so nothing else is kept.
+    Gradient expectation-maximisation for annotators' skills and items' difficulties together. Items' answers are grouped once, with annotators as numbers, and written; each round is one pass
+    that gives every annotator's summed gradient and curvature, and one step of their quotient on the skills (normal prior around 1). Rounds end when the skills rest; annotators has `converged`.
+    Difficulty is found anew from the skills in each pass, so nothing else is kept.
     agreement holds Krippendorff's alpha for names (chance-corrected), the observed and the expected disagreement, and the numbers of items and answers.
     A single answer is its own consensus; ties go to the first label by name, "no entity" (label '') last. An empty table gives empty tables and an alpha of null.
     """
     spark = given.sparkSession
     code = F.create_map(*(x for i, c in enumerate([*LABELS, NONE]) for x in (F.lit(c), F.lit(i))))
-    items = written(given.groupBy("utterance_id", "span_start").agg(F.sort_array(F.collect_list(F.struct("annotator", code[F.col("label")].alias("code")))).alias("answers")), "items")
-    start = given.sparkSession.createDataFrame([], "annotator string, skill double")
-    names = items.select(F.explode("answers.annotator").alias("annotator")).distinct()
-    sent = names.limit(MAX_SENT + 1).count() <= MAX_SENT
+    found = given.groupBy("annotator").agg(F.count("*").alias("answers"))
+    n = found.agg(F.count("*")).first()[0]
+    sent, rest = n <= MAX_SENT, None
+    found = written(found.withColumn("who", F.xxhash64("annotator") if not sent else F.row_number().over(Window.orderBy("annotator")) - 1).select("annotator", F.col("who").cast("bigint").alias("who"), "answers"), "annotators")
+    coded = lookup_join(given.select("utterance_id", "span_start", "annotator", code[F.col("label")].alias("code")), found.withColumn("n", F.col("answers")).select("annotator", "who", "n"), ["annotator"], "n")
+    items = written(coded.groupBy("utterance_id", "span_start").agg(F.sort_array(F.collect_list(F.struct("who", "code"))).alias("answers")), "items")
+    out = "utterance_id string, span_start bigint, label string, posterior double, difficulty double, answers bigint"
+    sums = lambda df, skills: df.mapInArrow(_gradients(skills), "who bigint, g double, h double").groupBy("who").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     if sent:
-        skills = {r["annotator"]: 1.0 for r in names.collect()}
-        for _ in range(ROUNDS):
-            for r in items.mapInArrow(_gradients(skills), "annotator string, g double, n double").groupBy("annotator").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).collect():
-                a = skills[r["annotator"]]
-                skills[r["annotator"]] = float(np.clip(a + STEP_A * 4 * (r["g"] - (a - 1) / SD_A**2) / (r["n"] + 4 / SD_A**2), -8, 8))
-        consensus = items.mapInArrow(_posteriors(skills), "utterance_id string, span_start bigint, label string, posterior double, difficulty double, answers bigint")
-        start = spark.createDataFrame(sorted(skills.items()), "annotator string, skill double") if skills else start
+        skills = np.ones(n)
+        for _ in range(ROUNDS if n else 0):
+            g = sums(items, skills).toArrow()
+            who, step = g["who"].to_numpy(), np.zeros(n)
+            step[who] = np.clip((g["g"].to_numpy() - (skills[who] - 1) / SD_A**2) / (g["h"].to_numpy() + 1 / SD_A**2), -1, 1)
+            skills = np.clip(skills + step, -8, 8)
+            rest = float(np.abs(step).max())
+            if rest < TOLERANCE:
+                break
+        consensus = items.mapInArrow(_posteriors(skills), out)
+        start = spark.createDataFrame(pa.table({"who": pa.array(np.arange(n)), "skill": pa.array(skills)})) if n else spark.createDataFrame([], "who bigint, skill double")
     else:
         flat = items.select("utterance_id", "span_start", F.explode("answers").alias("a")).select("utterance_id", "span_start", "a.*")
-        start = written(names.withColumn("skill", F.lit(1.0)), "skills")
-        regroup = lambda: flat.join(start, "annotator").groupBy("utterance_id", "span_start").agg(F.sort_array(F.collect_list(F.struct("annotator", "code", "skill"))).alias("answers"))
+        start = written(found.select("who", F.lit(1.0).alias("skill")), "skills")
+        regroup = lambda: lookup_join(flat, start.join(found.select("who", "answers"), "who"), ["who"], "answers").groupBy("utterance_id", "span_start").agg(F.sort_array(F.collect_list(F.struct("who", "code", "skill"))).alias("answers"))
         for _ in range(ROUNDS):
-            g = regroup().mapInArrow(_gradients(None), "annotator string, g double, n double").groupBy("annotator").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-            step = F.col("skill") + STEP_A * 4 * (F.col("g") - (F.col("skill") - 1) / SD_A**2) / (F.col("n") + 4 / SD_A**2)
-            start = written(start.join(g, "annotator").select("annotator", F.greatest(F.lit(-8.0), F.least(F.lit(8.0), step)).alias("skill")), "skills")
-        consensus = regroup().mapInArrow(_posteriors(None), "utterance_id string, span_start bigint, label string, posterior double, difficulty double, answers bigint")
+            step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("g") - (F.col("skill") - 1) / SD_A**2) / (F.col("h") + 1 / SD_A**2)))
+            moved, before = written(start.join(sums(regroup(), None), "who").select("who", F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col("skill") + step)).alias("skill"), step.alias("step")), "skills"), start
+            start = moved.select("who", "skill")
+            rest = moved.agg(F.max(F.abs("step"))).first()[0]
+            drop_written(before)
+            if rest < TOLERANCE:
+                break
+        consensus = regroup().mapInArrow(_posteriors(None), out)
+    converged = rest is None or rest < TOLERANCE
+    start = start.join(found.select("annotator", "who"), "who")
     counted = given.join(consensus.select("utterance_id", "span_start", F.col("label").alias("best")), ["utterance_id", "span_start"]).groupBy("annotator").agg(F.count("*").alias("answers"), F.round(F.avg((F.col("label") == F.col("best")).cast("double")), 6).alias("agreement"))
-    annotators = start.join(counted, "annotator").select("annotator", F.round("skill", 6).alias("skill"), F.round(1 / (1 + F.exp(-F.col("skill"))), 6).alias("reliability"), "answers", "agreement")
+    annotators = start.join(counted, "annotator").select("annotator", F.round("skill", 6).alias("skill"), F.round(1 / (1 + F.exp(-F.col("skill"))), 6).alias("reliability"), "answers", "agreement", F.lit(converged).alias("converged"))
     return consensus, annotators, _alpha(given)
 
 
