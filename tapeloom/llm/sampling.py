@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +49,16 @@ def _repair(cats: list[dict], start: float) -> None:
     for c in cats:
         c["final"] = max(c["final"], min(c["min_rows"], c["available"]))
     excess = sum(c["final"] for c in cats) - sum(c["drawn"] for c in cats)
-    while excess > 0:  # take back from the categories furthest above their expected size, never below a floor
-        rich = [c for c in cats if c["final"] > c["min_rows"] and c["final"] > 0]
-        if not rich:
-            break
-        top = max(rich, key=lambda c: (c["final"] - c["e"], c["final"], -c["target_id"]))
-        top["final"] -= 1
+    # taken back one by one from the category furthest above its expected size, never below a floor; where none can give, the floors alone exceed the size, and the sample is larger
+    place = lambda i: (cats[i]["e"] - cats[i]["final"], -cats[i]["final"], cats[i]["target_id"], i)
+    rich = [place(i) for i, c in enumerate(cats) if c["final"] > max(c["min_rows"], 0)]
+    heapq.heapify(rich)
+    while excess > 0 and rich:
+        i = heapq.heappop(rich)[-1]
+        cats[i]["final"] -= 1
         excess -= 1
+        if cats[i]["final"] > max(cats[i]["min_rows"], 0):
+            heapq.heappush(rich, place(i))
 
 
 def proportional_sample(rows: DataFrame, targets: DataFrame, key: str = "utterance_id", seed: int = 11, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:

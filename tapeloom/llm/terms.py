@@ -19,41 +19,34 @@ BLOCK = 1 << 20
 EDGE = "\x00"
 
 
-def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the suffixes in order of their first `depth` tokens, common prefix of each with the one before, up to depth).
+def suffix_array(tokens: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the whole suffixes in order, common prefix of each with the one before). A suffix goes on to the end of its stretch, `left` tokens away, and comes before those it begins.
 
-    Prefix doubling: ranks by 1, 2, 4 ... tokens; a suffix that ends early comes first. Neighbours' common prefix is put together from the ranks of each power.
+    Prefix doubling: ranks by 1, 2, 4 ... tokens until the longest stretch is covered or all ranks differ. Neighbours' common prefix is put together from the ranks of each power, the largest first.
     """
     n = len(tokens)
-    rank = tokens.astype(np.int64) + 1
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     levels, width = [rank], 1
-    while width * 2 <= depth:
-        rank = _join(rank, width)
+    while n and width < left.max() and rank.max() < n:
+        nxt = np.zeros(n, np.int64)
+        on = np.flatnonzero(left > width)
+        nxt[on] = rank[on + width]
+        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64) + 1
         levels.append(rank)
         width *= 2
-    order = np.argsort(rank, kind="stable") if width == depth else np.lexsort((np.append(rank[depth - width :], np.zeros(min(depth - width, n), np.int64))[:n], rank))
+    order = np.argsort(rank, kind="stable")
     prefix = np.zeros(n, np.int64)
     if n > 1:
-        a, b = order[:-1].copy(), order[1:].copy()
-        left = np.full(n - 1, depth)
-        got = np.zeros(n - 1, np.int64)
-        for level in [i for i in reversed(range(len(levels))) for _ in range(2)]:
-            w = 1 << level
-            x, y = a + got, b + got
-            ok = (got + w <= left) & (x + w <= n) & (y + w <= n)
-            ok[ok] = levels[level][x[ok]] == levels[level][y[ok]]
-            got += w * ok
+        a, b = order[:-1], order[1:]
+        most, got = np.minimum(left[a], left[b]), np.zeros(n - 1, np.int64)
+        for level in reversed(range(len(levels))):
+            ok = np.flatnonzero(got + (1 << level) <= most)
+            ok = ok[levels[level][a[ok] + got[ok]] == levels[level][b[ok] + got[ok]]]
+            got[ok] += 1 << level
         prefix[1:] = got
     return order, prefix
 
 
-def _join(rank: np.ndarray, width: int) -> np.ndarray:
-    n = len(rank)
-    nxt = np.zeros(n, np.int64)
-    nxt[: n - width] = rank[width:] if width < n else []
-    return np.unique(rank * (nxt.max(initial=0) + 1) + nxt, return_inverse=True)[1].astype(np.int64) + 1
-
-
 def intervals(order: np.ndarray, prefix: np.ndarray, record: np.ndarray, k: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a position, occurrences, records) of every k-gram: the intervals of suffixes whose neighbours share k tokens.
 
@@ -94,14 +87,14 @@ def _block_counts(rows: list[tuple[str, list[list[str]]]], max_n: int) -> Iterat
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
         left = (starts + size)[st] - np.arange(len(t))
         words = list(ids)
-        for ks in [range(1, max_n + 1)] if not whole_value else [np.unique(size)]:
-            order, prefix = suffix_array(t, int(max(ks)))
-            for k in map(int, ks):
-                ok = left >= k if not whole_value else (left == k) & (size[st] == k)
-                at, occ, recs = intervals(order, prefix, rec, k, ok)
-                for p, o, c in zip(at.tolist(), occ.tolist(), recs.tolist()):
-                    g = tokens[p : p + k]
-                    yield name, " ".join(words[x] for x in (g[1:-1] if whole_value else g)), (k - 2 if whole_value else k), o, c
+        # one array of whole suffixes; terms of every length are read from its intervals
+        order, prefix = suffix_array(t, left)
+        for k in map(int, np.unique(size) if whole_value else range(1, min(max_n, int(size.max())) + 1)):
+            ok = left >= k if not whole_value else (left == k) & (size[st] == k)
+            at, occ, recs = intervals(order, prefix, rec, k, ok)
+            for p, o, c in zip(at.tolist(), occ.tolist(), recs.tolist()):
+                g = tokens[p : p + k]
+                yield name, " ".join(words[x] for x in (g[1:-1] if whole_value else g)), (k - 2 if whole_value else k), o, c
 
 
 def _count(max_n: int):
@@ -132,10 +125,10 @@ def term_frequencies(df: DataFrame, max_n: int = 1) -> DataFrame:
     """(field, term, n, occurrences, records) of every term.
 
     df has field (string) and values (array of strings), a row for each record and field. In field `text` terms are the n-grams of 1 to max_n words within a value,
-    in any other field the whole values, as their words joined by blanks. Each task builds suffix arrays over blocks of its records;
+    in any other field the whole values, as their words joined by blanks. Each task builds suffix arrays over blocks of its records, of whole suffixes, to the end of their value;
     an interval of common prefixes is a term, its length the occurrences, less the neighbours within one record the records.
     Records are never split between blocks, so the blocks' counts add up; only they are shuffled, summed on the map side first, which also evens out terms that stand in every record.
-    Null values, and those without a word, count nothing; an empty table gives no row. Other columns are ignored.
+    max_n only bounds what is put out, as all runs of all lengths are as many as the squares of the values' lengths. Null values, and those without a word, count nothing; an empty table gives no row. Other columns are ignored.
     """
     counts = df.select("field", "values").where("values is not null").mapInArrow(_count(max_n), "field string, term string, n int, occurrences bigint, records bigint")
     return counts.groupBy("field", "term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

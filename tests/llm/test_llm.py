@@ -206,6 +206,18 @@ def test_suffix_array_counts(rows, max_n):
     assert got == {k: (len(x), len(set(x))) for k, x in want.items()}
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=9), min_size=1, max_size=6))
+def test_suffixes_are_whole(stretches):
+    flat, left = [w for s in stretches for w in s], [n for s in stretches for n in range(len(s), 0, -1)]
+    order, prefix = terms.suffix_array(np.array([ord(w) for w in flat]), np.array(left))
+    suffix = [flat[i : i + n] for i, n in enumerate(left)]
+    got = [suffix[i] for i in order]
+    assert got == sorted(suffix)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert prefix.tolist() == [0, *(common(a, b) for a, b in zip(got, got[1:]))]
+
+
 def test_terms_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(terms, "BLOCK", 4)
     df = spark.createDataFrame([("text", ["One, one TWO"]), ("text", [None, ""]), ("text", None), ("entity", ["One two", "one-TWO", "..."]), ("text", ["é " * 20_000])], "field string, values array<string>").withColumn("term", F.lit("clash"))
