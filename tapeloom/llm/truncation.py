@@ -20,9 +20,10 @@ ORDERS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 DEPTH = max(ORDERS)
 #: Bits of the filter that keeps contexts no text ends with out of the count; its size is fixed, and it only ever spares work.
 FILTER_BITS = 26
-#: Characters handled at a time, weight of the shorter context, length of the final window that counts once, and the threshold on log-odds for each language.
-BLOCK, KAPPA, WINDOW = 1 << 21, 4.0, 64
-THRESHOLDS = {"de": 0.0, "en": -1.0, "fr": -1.0, "und": -1.0}
+#: Characters handled at a time, weight of the shorter context, and length of the final window that counts once.
+BLOCK, KAPPA, WINDOW = 1 << 18, 4.0, 64
+#: Thresholds lie within LIMIT of neutral log-odds, in steps of 1/STEPS, where the fewest texts lie within 1 of them.
+LIMIT, STEPS = 1, 4
 #: Frequent short words by which a text's language is told.
 FUNCTION_WORDS = {
     "de": (" der ", " die ", " und ", " das ", " den ", " nicht ", " von ", " mit ", " wurde ", " auf ", " im "),
@@ -57,27 +58,33 @@ def plain(text: str) -> str:
     return _BEGUN.sub(INSIDE, _FIGURE.sub(FIGURE, t.lower()))
 
 
-def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order, the hash of the context that ends with each code; it reads backward from it."""
-    h = np.zeros(len(codes), np.uint64)
-    back = codes.astype(np.uint64)
-    for n in range(1, DEPTH + 1):
-        h = h * _B + back + np.uint64(1)
-        if n in ORDERS:
-            x = (h ^ (h >> np.uint64(31)) ^ np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
-            yield x ^ (x >> np.uint64(29))
-        back = np.concatenate([np.zeros(1, np.uint64), back[:-1]])
+def _hashes(codes: np.ndarray, at: np.ndarray, known=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order (places, hashes of the contexts that end with the code there, read backward from it).
+
+    With known only places go on whose context it knows: a longer context can only be asked for where the shorter one is.
+    """
+    h, n = np.zeros(len(at), np.uint64), 0
+    for order in ORDERS:
+        while n < order:
+            h = h * _B + codes[at - n] + np.uint64(1)
+            n += 1
+        x = (h ^ (h >> np.uint64(31)) ^ np.uint64(order)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        if known is not None:
+            hit = np.flatnonzero(known(x))
+            at, h, x = at[hit], h[hit], x[hit]
+        yield at, x
 
 
 def final_contexts(plains: list[str]) -> np.ndarray:
     """texts x orders: hashes of the contexts that the texts end with; short texts are filled up with zeros in front."""
     codes = np.frombuffer("".join(t[-DEPTH:].rjust(DEPTH, "\x00") for t in plains).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.arange(1, len(plains) + 1) * DEPTH - 1
-    return np.stack([h[at] for h in _hashes(codes)], axis=1) if plains else np.zeros((0, len(ORDERS)), np.uint64)
+    return np.stack([h for _, h in _hashes(codes.astype(np.uint64), at)], axis=1) if plains else np.zeros((0, len(ORDERS)), np.uint64)
 
 
-def places(plains: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order (hashes of contexts, whether a unit ends there) of all places in the texts but their ends.
+def places(plains: list[str], known=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order (hashes of contexts, whether a unit ends there) of all places in the texts but their ends, or of those whose context is known.
 
     A unit ends before a line break, before stops that a blank or the end follows, and after them; everywhere else but after a blank text goes on.
     """
@@ -90,9 +97,9 @@ def places(plains: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for _ in range(2):
         closing |= stop & np.append(closing[1:], False)
     place = np.flatnonzero(~blank & ~no & (nxt != 0))
-    end = ((nxt == 10) | np.append(closing[1:], False) | after)[place]
-    for h in _hashes(codes):
-        yield h[place], end
+    end = (nxt == 10) | np.append(closing[1:], False) | after
+    for at, h in _hashes(codes.astype(np.uint64), place, known):
+        yield h, end[at]
 
 
 def _in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -127,10 +134,9 @@ def _counts(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _blocks([(plain(t),) for t in b.column("text").to_pylist()]):
-                for h, end in places([p[0] for p in part]):
-                    hit = _in_filter(h, bits)
-                    code, keys = pd.factorize(h[hit])
-                    e = np.bincount(code, end[hit], len(keys)).astype(np.int64)
+                for h, end in places([p[0] for p in part], lambda x: _in_filter(x, bits)):
+                    code, keys = pd.factorize(h)
+                    e = np.bincount(code, end, len(keys)).astype(np.int64)
                     n = np.bincount(code, minlength=len(keys))
                     yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.uint64).view(np.int64)), pa.array(e), pa.array(n - e)], ["h", "ends", "goes_on"])
 
@@ -170,9 +176,25 @@ def truncation_scores(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return seen.select(F.col("id").alias(key), "source", "lang", F.round(F.log(clipped / (1 - clipped)) - float(np.log(p0 / (1 - p0))), 6).alias("log_odds"), "broken")
 
 
-def truncated(scores: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
-    """Adds `cut`: the log-odds lie under the language's threshold, or the last character is broken."""
-    limit = F.coalesce(F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv))[F.col("lang")], F.lit(0.0))
+def thresholds(scores: DataFrame) -> dict[str, float]:
+    """For each language the log-odds, within LIMIT of neutral, around which the fewest of its texts lie: the valley between cut and finished texts. Of several the nearest to neutral, then the lower.
+
+    From counts of all texts in steps of 1/STEPS (four languages, so a hundred rows or so).
+    """
+    reach = (LIMIT + 1) * STEPS
+    bins = scores.where(~F.col("broken")).groupBy("lang", F.floor(F.col("log_odds") * STEPS).cast("int").alias("bin")).agg(F.count("*").alias("n")).where(f"bin between {-reach} and {reach - 1}").collect()
+    count: dict[str, np.ndarray] = {}
+    for r in bins:
+        count.setdefault(r["lang"], np.zeros(2 * reach, np.int64))[r["bin"] + reach] += r["n"]
+    at = np.arange(-LIMIT * STEPS, LIMIT * STEPS + 1)
+    return {lang: float(min(at, key=lambda c: (n[c + reach - STEPS : c + reach + STEPS].sum(), abs(c), c))) / STEPS for lang, n in count.items()}
+
+
+def truncated(scores: DataFrame) -> DataFrame:
+    """Adds `cut`: the log-odds lie under the language's threshold, or the last character is broken (U+FFFD, which no finished text ends with)."""
+    scores = written(scores, "scores")
+    found = [x for kv in thresholds(scores).items() for x in kv]
+    limit = F.coalesce(F.create_map(*map(F.lit, found))[F.col("lang")], F.lit(0.0)) if found else F.lit(0.0)
     return scores.withColumn("cut", (F.col("log_odds") < limit) | F.col("broken"))
 
 
