@@ -17,7 +17,7 @@ from tapeloom.plans.tables import drop_written, read, written
 LABELS = ["ALTITUDE", "CALLSIGN", "COMMAND", "FACILITY", "FREQUENCY", "HEADING", "RUNWAY", "SQUAWK", "WAYPOINT"]
 NONE = ""
 #: Rounds end when no skill moves by more than TOLERANCE, or after ROUNDS (then `converged` is false); so do the steps on difficulty within a round. Standard deviations of the normal priors.
-ROUNDS, INNER, TOLERANCE, SD_B, SD_A = 200, 30, 0.005, 1.0, 2.0
+ROUNDS, INNER, TOLERANCE, SD_B, SD_A = 200, 8, 0.005, 1.0, 2.0
 #: Up to so many annotators the skills travel with the tasks (8 bytes each); above, they are joined to the answers.
 MAX_SENT = 500_000
 
