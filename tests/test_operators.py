@@ -338,3 +338,62 @@ def test_ranks_of_a_stratum_with_a_third_of_the_rows(spark):
     assert [r["v"] for r in picks] == [0, 1497, 2997]
     split = sampling.group_split(df, "s", 1, 0.1, 0.1)
     assert split.count() == 3000 and split.groupBy("s").agg(F.count_distinct("dataset_split").alias("n")).where("n > 1").count() == 0
+
+
+def test_readers_and_guards_of_files(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('{"utterance_id": "a", "text": "x", "entities": [{"text": "x", "label": "A", "span": [0, 1]}]}\n')
+    assert readers.gold_lines(spark, str(tmp_path / "g.jsonl")).first()["entities"][0]["span"] == [0, 1]
+    res = tmp_path / "res"
+    res.mkdir()
+    (res / "results_base_full_1.csv").write_text("id,wer\na,0.5\n")
+    (res / "other.csv").write_text("id,wer\nb,1\n")
+    got = readers.result_files(spark, str(res), "results_*.csv", "id string, wer double").collect()
+    assert [(r["id"], r["wer"], r["model"]) for r in got] == [("a", 0.5, "base")]
+    assert {(r["key"].rsplit("/", 1)[1], r["bytes"]) for r in writers.file_digests(spark, str(res)).collect()} == {("results_base_full_1.csv", 13), ("other.csv", 11)}
+    df = spark.createDataFrame([("a", "train"), ("b", "test")], "k string, dataset_split string")
+    df.write.partitionBy("dataset_split").parquet(str(tmp_path / "t"))
+    assert [r["k"] for r in readers.split_table(spark, str(tmp_path / "t"), "test").collect()] == ["b"]
+    writers.save_new(df, str(tmp_path / "n"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        writers.save_new(df, str(tmp_path / "n"))
+    writers.save_new(df, str(tmp_path / "n"), overwrite=True)
+    for _ in range(2):
+        writers.append_history(df, str(tmp_path / "h"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "h")).count() == 4
+
+
+def test_plans_of_artifacts(spark):
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    assert {(r["key"], r["action"]) for r in writers.copy_plan(keys("a", "b"), keys("b", "c")).collect()} == {("a", "copy"), ("b", "copy"), ("c", "remove")}
+    assert [r["key"] for r in writers.missing(keys("a", "b"), keys("b"), "key").collect()] == ["a"]
+    pins = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "repo string, revision string")
+    heads = spark.createDataFrame([("x", "1"), ("y", "2")], "repo string, revision string")
+    assert {r["repo"]: r["status"] for r in writers.pin_status(pins, heads).collect()} == {"x": "ok", "y": "moved", "z": "missing"}
+    kinds = keys("m/checkpoint-3/model.bin", "m/model.safetensors", "m/metrics_1.json", "m/vocab.txt", "m/rows.parquet").select("key", writers.artifact_kind(F.col("key")).alias("k"))
+    assert [r["k"] for r in kinds.collect()] == [None, "weights", "metadata", "tokenizer", "data"]
+
+
+def test_union_of_common_splits(spark):
+    a = spark.createDataFrame([("train", "1"), ("test", "2"), (None, "3")], "original_split string, id string")
+    b = spark.createDataFrame([("train", "4")], "original_split string, id string")
+    got = readers.union_sources({"a": a, "b": b}, {"id": "source_id"}, ["source_id"], common_splits=True)
+    assert {r["utterance_id"] for r in got.collect()} == {"a-train-000000", "b-train-000000"}
+
+
+def test_cleaned_tables_are_saved(spark, tmp_path):
+    rows = [("1", "p", None, "hi", 1.0, "s", "hi", "train"), ("2", "p", None, "hi", 1.0, "s", "hi", "train"), ("3", None, None, "yo", 1.0, "t", "yo", "test")]
+    df = spark.createDataFrame(rows, "id string, audio_path string, audio_decode_error string, transcript string, duration_sec double, audio_checksum string, transcript_normalized string, dataset_split string")
+    writers.save_cleaned(quality.clean(df, ["id"]), str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "utterances")).count() == 1 and spark.read.parquet(str(tmp_path / "dropped_rows")).count() == 2 and spark.read.json(str(tmp_path / "cleaning_log")).count() == 6
+
+
+def test_streams_of_texts_and_logs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("5/10 [00:05<00:05]\nnothing\n{'loss': 1.0}\n")
+    q = streams.log_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("log_rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["done"], r["loss"]) for r in spark.table("log_rows").collect()} == {(5, None), (None, 1.0)}
+    df = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3")], "text string, id string")
+    assert streams.first_texts(df).count() == 2
+    last = streams.last_values(spark.createDataFrame([("x", i) for i in range(9)], "k string, v int"), ["k"], ["v"], 3)
+    assert {r["v"] for r in last.collect()} == {6, 7, 8}
