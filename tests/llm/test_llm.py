@@ -190,6 +190,21 @@ def test_overlaps_of_an_empty_table(spark):
     assert members.count() == links.count() == 0
 
 
+def test_texts_held_by_several_tasks_are_probed_and_indexed_once(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=10)) for _ in range(60)]
+    rows = [(f"u{c}-{i:02d}", t, "train" if i % 3 else "test", "s") for c in range(6) for i, t in enumerate(texts + texts[:30])]
+    df = spark.createDataFrame(rows, "utterance_id string, text string, dataset_split string, dataset_source string").repartition(6, "utterance_id")
+    passes, probed = [], overlap._probed
+    monkeypatch.setattr(overlap, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(overlap, "_probed", lambda path, b: passes.append(b) or probed(path, b))
+    members, links = overlap.cross_split_overlaps(df)
+    split = {(t, r) for _, t, r, _ in rows}
+    assert len(passes) == -(-10 * len({t for t, r in split if r == "test"}) // 100)
+    assert members.count() == len(rows) and links.count() == len({t for t, r in split if r == "train"} & {t for t, r in split if r == "test"})
+
+
 # ---- 4
 
 
