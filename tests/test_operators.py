@@ -1,14 +1,18 @@
 import io
+import math
 import os
+import random
 import wave
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions import audio
 from tapeloom.functions import spans as sp
-from tapeloom.operators import curation, profile, quality, sampling, scoring
+from tapeloom.operators import curation, neighbours, profile, quality, sampling, scoring
 from tapeloom.operators.skew import lookup_join
 from tapeloom.sources import readers, writers
 from tapeloom.streaming import streams
@@ -397,3 +401,48 @@ def test_streams_of_texts_and_logs(spark, tmp_path):
     assert streams.first_texts(df).count() == 2
     last = streams.last_values(spark.createDataFrame([("x", i) for i in range(9)], "k string, v int"), ["k"], ["v"], 3)
     assert {r["v"] for r in last.collect()} == {6, 7, 8}
+
+
+def _cosines(pool, asked):
+    """(query, key): score by the formula, of rows (key, text)."""
+    terms = lambda t: (w := t.split()) + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    docs = {k: Counter(terms(t)) for k, t in pool}
+    df = Counter(t for d in docs.values() for t in d)
+    idf = lambda t: math.log((1 + len(pool)) / (1 + df[t])) + 1 if df[t] else 1.0
+    unit = lambda d: {t: n * idf(t) / math.sqrt(sum((m * idf(u)) ** 2 for u, m in d.items())) for t, n in d.items()}
+    docs, q = {k: unit(d) for k, d in docs.items()}, {k: unit(Counter(terms(t))) for k, t in asked}
+    return {(a, b): round(s, 9) for a, x in q.items() for b, y in docs.items() if a != b and (s := sum(v * y.get(t, 0) for t, v in x.items())) > 0}
+
+
+def test_nearest_matches_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(neighbours, "BLOCK_TERMS", 1500)
+    texts = ["", "  ", "one"] + [" ".join(rng.choices([f"w{int(i**1.5)}" for i in range(30)], k=rng.randint(1, 14))) for _ in range(250)]
+    pool = [(f"p{i:03d}", rng.choice(texts[: 1 + i])) for i in range(400)]
+    asked = pool[::7] + [("x1", "w0 unheard of w1"), ("x2", "unheard")]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, text string")
+    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in curation.nearest(frame(pool), frame(asked), "id", 3).collect()}
+    by: dict = {}
+    for (a, b), s in _cosines(pool, asked).items():
+        by.setdefault(a, []).append((s, b))
+    want = {(a, i + 1): (b, s) for a, x in by.items() for i, (s, b) in enumerate(sorted(x, reverse=True)[:3])}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) > 150
+    assert all(abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+
+
+def test_nearest_does_not_score_all_that_share_a_common_term():
+    rng = random.Random(9)
+    lists = [[0, 1, 2] + sorted(rng.sample(range(3, 3000), 6)) for _ in range(4000)]
+    df = np.bincount(np.concatenate(lists), minlength=3000)
+    terms = neighbours.Terms(np.arange(3000), df, len(lists))
+    begin, rank, tf, norm = terms.vectors(pa.array(lists, pa.list_(pa.int64())))
+    v = terms.weights(begin, rank, tf, norm)
+    block = neighbours.Block(np.arange(len(lists)), np.ones(len(lists), np.int64), begin, rank, v)
+    scored, scores = [], block.scores
+    block.scores = lambda row, full: scored.append(len(row)) or scores(row, full)
+    full, found, of = np.zeros(3000), [], slice(begin[5], begin[6])
+    full[rank[of]] = v[of]
+    bound = block.best(rank[of], v[of], neighbours._rest(begin, v)[of], full, 3, found, 0.0)
+    every = np.sort(scores(np.arange(len(lists)), full))[::-1]
+    assert bound == every[2] and sorted(found[0][1])[::-1] == pytest.approx(every[: len(found[0][1])].tolist())
+    assert sum(scored) < 400
